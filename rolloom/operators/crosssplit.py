@@ -1,0 +1,185 @@
+"""Problems that stand in the training split and in another one, exactly or almost.
+
+Each prompt is reduced to canonical hashes after case, punctuation and whitespace normalisation: one of all its words, and one of its
+quantities (the words with digits, as a multiset, without those of standard instructions). Two prompts that state the same problem have
+the same quantities, so joining the hashes of evaluation prompts with those of training prompts meets every such pair;
+the wording is then compared word for word. Prompts with fewer than three quantities are joined on band keys of their words instead.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rolloom.functions.canon import canonical_answer, fold, no_answer
+from rolloom.functions.words import Hasher, MinHash, occurrences, set_key, words
+from rolloom.operators.skew import pairs_in_blocks
+from rolloom.session import cut
+
+#: A sentence is a standard instruction when it stands in more than this share of the distinct prompts, and in more than LEAST of them.
+SHARE, LEAST = 0.002, 5
+#: Same wording: shared words over all words of both statements.
+SHARED, OF = 7, 10
+#: Fewer quantities than this don't identify a problem.
+FEW = 3
+BANDS, ROWS = 40, 5
+_END = re.compile(r"(?<=[.!?;:。])\s+|\n+")
+
+
+def split_name(split: Column) -> Column:
+    """Split name without case and blanks; null for null and blank."""
+    return F.nullif(F.lower(F.regexp_replace(split, r"[\s\p{Z}]+", "")), F.lit(""))
+
+
+def sentence_words(sentence: Column) -> Column:
+    """A sentence's words, one blank between them."""
+    return F.trim(F.regexp_replace(fold(sentence), r"[^\p{L}\p{N}]+", " "))
+
+
+def instructions(texts: DataFrame, share: float = SHARE, least: int = LEAST) -> list[str]:
+    """Sentences that more than `share` of the distinct texts hold: at most (sentences of a text) / share of them, so the driver can hold them."""
+    distinct = texts.select("text").where("text is not null").distinct()
+    sentences = distinct.select(F.xxhash64("text").alias("t"), F.explode(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?;:。]) ")).alias("s"))
+    sentences = sentences.select("t", sentence_words(F.col("s")).alias("s")).where("length(s) >= 12").distinct()
+    total = distinct.agg(F.count(F.lit(1)).alias("_total"))
+    common = sentences.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return [r[0] for r in common.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("_total") * share).select("s").collect()]
+
+
+def bare(word: str) -> str:
+    """A word without accents."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
+class Statement:
+    """Takes standard instructions out of a text, also where a word of theirs was changed or the full stops are gone."""
+
+    def __init__(self, known: list[str], alike: float = 0.75):
+        self.known = [[bare(w) for w in k.split()] for k in known]
+        self.sets = [frozenset(k) for k in self.known]
+        self.alike = alike
+        self.index: dict[str, list[int]] = {}
+        for i, k in enumerate(self.sets):
+            for w in k:
+                self.index.setdefault(w, []).append(i)
+        self.cache: dict[str, bool] = {}
+
+    def is_known(self, w: list[str]) -> bool:
+        w = [bare(x) for x in w]
+        s = frozenset(w)
+        if len(s) < 3 or len(w) > 60:
+            return False
+        key = " ".join(w)
+        hit = self.cache.get(key)
+        if hit is None:
+            shared: dict[int, int] = {}
+            for x in s:
+                for i in self.index.get(x, ()):
+                    shared[i] = shared.get(i, 0) + 1
+            hit = any(n >= self.alike * (len(s) + len(self.sets[i]) - n) for i, n in shared.items())
+            if len(self.cache) > 50_000:
+                self.cache.clear()
+            self.cache[key] = hit
+        return hit
+
+    def __call__(self, text: str) -> list[str]:
+        """The words of the text's own statement."""
+        out: list[str] = []
+        for sentence in _END.split(text):
+            w = words(sentence)
+            if w and not self.is_known(w):
+                out += w
+        cutting = True
+        while cutting:  # instructions at the end of a text without full stops
+            cutting = False
+            for k in self.known:
+                if len(out) > len(k) and self.is_known(out[-len(k) :]):
+                    out, cutting = out[: -len(k)], True
+                    break
+        return out
+
+
+_SCHEMA = "rec_id bigint, side string, ref string, text_key bigint, few boolean, quantities bigint, bands array<bigint>, tokens array<bigint>"
+
+
+def describe(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Hashes of each row (rec_id, side, ref, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, minhash, own = Hasher(), MinHash(BANDS, ROWS), Statement(known)
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        for batch in batches:
+            out: list[list] = [[] for _ in types]
+            for rec, side, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = own(text) or words(text)
+                if not w:
+                    continue
+                tokens = occurrences(hasher(w))
+                numbers = [x for x in w if any(c.isdigit() for c in x)]
+                few = len(numbers) < FEW
+                quantities = set_key(occurrences(hasher(numbers)))
+                for col, x in zip(out, (rec, side, ref, set_key(tokens), few, quantities, minhash(tokens) if few else np.zeros(0, np.int64), tokens.view(np.int64))):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=["rec_id", "side", "ref", "text_key", "few", "quantities", "bands", "tokens"])
+
+    return rows.select("rec_id", "side", "ref", "text").mapInArrow(run, _SCHEMA)
+
+
+def reference_value(reference: Column) -> Column:
+    """The value a reference states: the text after ####, in canonical writing; null where it is missing."""
+    value = F.substring_index(reference, "####", -1)
+    return F.when(~no_answer(value), F.nullif(canonical_answer(value), F.lit("")))
+
+
+def overlaps(problems: DataFrame) -> DataFrame:
+    """(train_id, eval_id) for every problem of the training split that another split states too.
+
+    `problems` has problem_id, prompt, reference and split. Null or blank splits belong to neither side; null, blank and wordless prompts have
+    no pair. The pair's quantities are equal, its words alike up to small edits, and its references equal where both sides have one.
+    Repeated rows of one id count once.
+    """
+    name = split_name(F.col("split"))
+    rows = problems.where(name.isNotNull() & F.col("prompt").isNotNull()).select(
+        F.col("problem_id").alias("rec_id"), F.when(name == "train", "t").otherwise("e").alias("side"), reference_value(F.col("reference")).alias("ref"), F.col("prompt").alias("text")
+    )
+    rows = cut(rows.dropDuplicates(["rec_id"]), "rows")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = cut(describe(rows.repartition(parts, "rec_id"), instructions(rows)), "hashes")
+
+    # one representative for each side, text and reference
+    group = ["side", "text_key", "few", "quantities"]
+    reps = cut(table.groupBy(*group).agg(F.min(F.struct("rec_id", "bands", "tokens")).alias("r")).select(*group, F.col("r.rec_id").alias("rep"), "r.bands", "r.tokens"), "reps")
+    keys = F.when(F.col("few"), F.col("bands")).otherwise(F.array(F.col("quantities")))
+    keyed = reps.select("side", F.col("rep"), F.explode(keys).alias("key"))
+    left, right = keyed.where("side = 'e'").select("key", F.col("rep").alias("e")), keyed.where("side = 't'").select("key", F.col("rep").alias("t"))
+    met = pairs_in_blocks(left, right, "key").select("e", "t").distinct()
+    of = lambda s: reps.select(F.col("rep").alias(s), F.col("tokens").alias(f"w{s}"), F.col("quantities").alias(f"q{s}"))
+    both = F.size(F.array_intersect("we", "wt"))
+    alike = both * OF >= SHARED * (F.size("we") + F.size("wt") - both)
+    same = cut(met.join(of("e"), "e").join(of("t"), "t").where((F.col("qe") == F.col("qt")) & alike).select("e", "t"), "same")
+
+    # back to the records: texts of a class on either side, spread over blocks
+    members = table.join(reps.select(*group, "rep"), group).select("rep", "rec_id", "ref")
+    evals = members.select(F.col("rep").alias("e"), F.col("rec_id").alias("eval_id"), F.col("ref").alias("eval_ref"))
+    trains = members.select(F.col("rep").alias("t"), F.col("rec_id").alias("train_id"), F.col("ref").alias("train_ref"))
+    found = pairs_in_blocks(evals, same, "e").drop("e")
+    found = pairs_in_blocks(found, trains, "t")
+    return found.where(F.col("eval_ref").isNull() | F.col("train_ref").isNull() | (F.col("eval_ref") == F.col("train_ref"))).select("train_id", "eval_id")
+
+
+def overlap_pairs(problems: DataFrame) -> DataFrame:
+    """(id_a, id_b), smaller first."""
+    return overlaps(problems).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def overlap_report(problems: DataFrame) -> DataFrame:
+    """For each split and source of evaluation problems: problems, and how many of them the training split states too, with the number of pairs."""
+    pairs = overlaps(problems).groupBy(F.col("eval_id").alias("problem_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    rows = problems.select("problem_id", split_name(F.col("split")).alias("split"), F.coalesce("source", F.lit("(none)")).alias("source")).dropDuplicates(["problem_id"]).where("split is not null and split <> 'train'")
+    return rows.join(pairs, "problem_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("problems"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))

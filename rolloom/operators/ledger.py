@@ -1,0 +1,113 @@
+"""Duplicates hidden by formatting: an incremental, bucketed ledger of canonical keys."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolloom.functions.canon import canonical_answer, canonical_text, no_answer
+from rolloom.operators.skew import lookup
+from rolloom.session import cut, shared_dir
+
+BUCKETS = 16
+
+
+def record_key(*parts: Column) -> Column:
+    """128-bit key of canonical parts; the parts' ends are kept apart."""
+    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("+"), p.cast("string")), F.lit("-")) for p in parts]))
+
+
+class Ledger:
+    """Counts of canonical keys that grow batch by batch.
+
+    The state is a table (bucket, key, n, first_id) in the shared folder, partitioned by bucket, one row for each key. A batch is
+    aggregated first (with partial sums before its shuffle), then joined with the buckets it touches only; buckets it
+    doesn't touch are taken over as they are. The batch's rows must be records, each delivered once.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
+        self.spark, self.buckets = spark, buckets
+        self.schema = "key string, n bigint, first_id bigint, bucket int"
+        self.parts: list[tuple[str, list[int]]] = []
+
+    def table(self, only: list[int] | None = None) -> DataFrame:
+        """(key, n, first_id, bucket), of some buckets or of all."""
+        df = self.spark.createDataFrame([], self.schema)
+        for path, held in self.parts:
+            take = [b for b in held if only is None or b in only]
+            if take:
+                df = df.unionByName(self.spark.read.schema(self.schema).parquet(path).where(F.col("bucket").isin(take)))
+        return df
+
+    def add(self, batch: DataFrame, key: str, rec_id: str) -> None:
+        """Count a batch in. Rows with a null key are left out."""
+        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
+        new = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(rec_id).alias("first_id"))
+        new = cut(new.withColumn("bucket", bucket), "batch") if self.parts else new.withColumn("bucket", bucket)
+        path = f"{shared_dir(self.spark)}/rolloom-ledger-{uuid.uuid4().hex}"
+        if self.parts:
+            touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # at most `buckets` numbers
+            old = self.table(touched)
+            a, b = old.alias("a"), new.alias("b")
+            merged = a.join(b, "key", "full_outer").select(
+                "key", (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), F.least("a.first_id", "b.first_id").alias("first_id"), F.coalesce("a.bucket", "b.bucket").alias("bucket")
+            )
+        else:
+            touched, merged = list(range(self.buckets)), new
+        merged.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
+        self.parts = [(p, [b for b in held if b not in touched]) for p, held in self.parts] + [(path, touched)]
+        self.parts = [(p, held) for p, held in self.parts if held]
+
+
+def by_arrival(records: DataFrame, at: str, batches: int) -> Iterable[DataFrame]:
+    """The records in batches by the time `at`, in order; null times come in the first. Bounds are approximate quantiles."""
+    bounds = records.agg(F.percentile_approx(F.unix_micros(F.col(at).cast("timestamp")), [(i + 1) / batches for i in range(batches - 1)], 1000)).head()[0] or []
+    rank = F.lit(0)
+    for b in sorted(set(bounds)):
+        rank = rank + F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) > F.lit(b), F.lit(False)).cast("int")
+    for i in range(len(set(bounds)) + 1):
+        yield records.where(rank == i)
+
+
+def answer_records(results: DataFrame) -> DataFrame:
+    """(rec_id, at, key) of the non-empty answers of `results`: the same run and the same canonical answer share a key.
+
+    Null, blank and placeholder answers are no records. A redelivered row counts once, by its first delivery.
+    """
+    once = results.groupBy("result_id").agg(F.min(F.struct("received_at", "run_id", "answer")).alias("r")).select(F.col("result_id").alias("rec_id"), "r.*")
+    once = once.where(~no_answer(F.col("answer"))).withColumn("canon", canonical_answer(F.col("answer"))).where("canon <> ''")
+    return once.select("rec_id", F.col("received_at").alias("at"), record_key(F.lit("answer"), F.col("run_id"), F.col("canon")).alias("key"))
+
+
+def problem_records(generated: DataFrame) -> DataFrame:
+    """(rec_id, at, key) of generated problems: canonical problem with the multiset of canonical answers.
+
+    Null and blank entries of all_answers are entries, all alike; a null list differs from an empty one. A null or blank problem is a
+    record like others: its key holds the empty text.
+    """
+    entries = F.array_sort(F.transform("all_answers", lambda a: F.coalesce(canonical_answer(a), F.lit(""))))
+    key = record_key(F.lit("problem"), F.coalesce(canonical_text(F.col("problem")), F.lit("")), F.array_join(entries, "\u0002"), F.size(F.col("all_answers")))
+    return generated.groupBy("gen_id").agg(F.min(F.struct("ingested_at", "problem", "all_answers")).alias("r")).select(F.col("gen_id").alias("rec_id"), "r.*").select("rec_id", F.col("ingested_at").alias("at"), key.alias("key"))
+
+
+def build(records: DataFrame, batches: int = 3) -> tuple[DataFrame, Ledger]:
+    """Records written to the shared folder, and the ledger they were counted into, batch by batch of arrival."""
+    records = cut(records, "records")
+    ledger = Ledger(records.sparkSession)
+    for batch in by_arrival(records, "at", batches):
+        ledger.add(batch, "key", "rec_id")
+    return records, ledger
+
+
+def copies(records: DataFrame, ledger: Ledger) -> DataFrame:
+    """(first_id, copy_id): every record that repeats an earlier one, by the ledger's counts."""
+    repeated = ledger.table().where("n > 1").select("key", "first_id", "n")
+    return lookup(records.select("key", F.col("rec_id").alias("copy_id")), "key", repeated, "n").where("copy_id <> first_id").select("first_id", "copy_id")
+
+
+def collapsed(ledger: Ledger) -> DataFrame:
+    """(first_id, copies): each distinct record once, with its number of copies."""
+    return ledger.table().select("first_id", F.col("n").alias("copies"))

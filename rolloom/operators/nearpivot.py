@@ -1,0 +1,136 @@
+"""Near-duplicate texts by pivot distance tables.
+
+Every text becomes a fingerprint, and the table holds its Hamming distances to many reference fingerprints (the pivots). The distance
+of two texts is at least the largest difference of their coordinates, which discards pairs without touching the texts;
+survivors are verified on all their words. A pivot table alone would have to look at every pair, so the pairs it is
+asked about come from band keys (minima of hashed words): close texts share a band but for a probability of 0.001 at similarity
+0.7 and less than 1e-7 from 0.8.
+
+Within a band key not all pairs are formed. First each text is compared with the key's smallest text only; after the groups so found
+are contracted, a second pass compares the texts outside a key's largest group with all texts of other groups of that key. Every pair of
+a key whose texts are not in one group already is thus looked at, while a key that copies fill stays linear.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rolloom.functions.words import Hasher, MinHash, folded, occurrences, set_key, words
+from rolloom.operators.components import components
+from rolloom.operators.skew import lookup, pairs_in_blocks
+from rolloom.session import cut
+
+BANDS, ROWS, PIVOTS = 72, 7, 64
+#: Closeness as a fraction: shared words over all words.
+SHARED, OF = 7, 10
+
+_SCHEMA = "rec_id bigint, text_key bigint, mask_key bigint, n bigint, fp array<bigint>, pivots array<smallint>, bands array<bigint>, tokens array<bigint>"
+
+
+def pivot_prints(texts: DataFrame, count: int = PIVOTS) -> np.ndarray:
+    """Fingerprints of `count` texts, those with the smallest hash: a bounded number of rows for the driver."""
+    rows = texts.select("text").where("text is not null").distinct().orderBy(F.xxhash64("text"), "text").limit(count).collect()
+    hasher = Hasher()
+    prints = [folded(occurrences(hasher(w))) for w in (words(r[0]) for r in rows) if w]
+    return np.stack(prints) if prints else np.zeros((1, 8), dtype=np.int64)
+
+
+def describe(texts: DataFrame, pivots: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Keys, fingerprint, pivot distances, band keys and tokens of each text (rec_id, text). Texts without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, minhash = Hasher(), MinHash(bands, rows)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                if not w:
+                    continue
+                h = hasher(w)
+                tokens = occurrences(h)
+                still = [x for x in w if not any(c.isdigit() for c in x)]
+                mask = set_key(occurrences(hasher(still))) if still else None
+                fp = folded(tokens)
+                far = np.bitwise_count((pivots ^ fp).view(np.uint64)).sum(axis=1).astype(np.int16)
+                for col, x in zip(out, (rec, set_key(tokens), mask, len(tokens), fp, far, minhash(tokens), tokens.view(np.int64))):
+                    col.append(x)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=["rec_id", "text_key", "mask_key", "n", "fp", "pivots", "bands", "tokens"])
+
+    return texts.select("rec_id", "text").mapInArrow(run, _SCHEMA)
+
+
+def survivors(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those the pivot table, the fingerprints and at last the words don't rule out."""
+    slim = lambda s: table.select(F.col("rec_id").alias(s), F.col("n").alias(f"n{s}"), F.col("pivots").alias(f"p{s}"), F.col("fp").alias(f"f{s}"))
+    near = pairs.join(slim("a"), "a").join(slim("b"), "b")
+    most = F.floor((F.col("na") + F.col("nb")) * (OF - SHARED) / F.lit(OF + SHARED))  # tokens apart, at most
+    near = near.where(F.abs(F.col("na") - F.col("nb")) <= most)
+    near = near.where(F.array_max(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int")))) <= most)
+    near = near.where(F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most)
+    tokens = lambda s: table.select(F.col("rec_id").alias(s), F.col("tokens").alias(f"t{s}"))
+    full = near.select("a", "b", "na", "nb").join(tokens("a"), "a").join(tokens("b"), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return full.withColumn("both", both).where(F.col("both") * OF >= SHARED * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def near_groups(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(rec_id, group_id) for each text (rec_id, text) that has words; group_id is the smallest rec_id of its group.
+
+    Texts are close when the words they share are at least 0.7 of all words of both, or when they differ only in words with
+    digits (and have others). Repeated rec_ids must be equal rows; null, empty and wordless texts are in no group.
+    """
+    texts = cut(texts.select("rec_id", "text").where("text is not null").distinct(), "texts")
+    raw = texts.groupBy(F.md5("text").alias("raw")).agg(F.min(F.struct("rec_id", "text")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    table = cut(describe(raw.select("r.*").repartition(_parts(texts), "rec_id"), pivot_prints(texts), bands, rows), "pivots")
+    # one representative for each word multiset
+    reps = table.groupBy("text_key").agg(F.min("rec_id").alias("rep"), F.min("mask_key").alias("mask_key"), F.count(F.lit(1)).alias("n_same"))
+    keys = reps.select(F.col("rep").alias("rec_id"))
+    table_r = cut(table.join(keys, "rec_id", "left_semi"), "reps")
+    masks = reps.where("mask_key is not null").groupBy("mask_key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same_mask = lookup(reps.select("mask_key", F.col("rep").alias("a")), "mask_key", masks, "_n").where("a <> b").select("a", "b")
+
+    banded = cut(table_r.select(F.col("rec_id").alias("rep"), F.explode("bands").alias("band")), "bands")
+    shared = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    pairs = lookup(banded, "band", shared, "_n").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    links = cut(survivors(pairs, table_r).unionByName(same_mask), "links")
+    comp = cut(table_r.select(F.col("rec_id").alias("node")).join(components(links, "a", "b"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp")
+
+    placed = banded.join(shared.select("band"), "band", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep")
+    largest = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max_by("comp", F.struct("_c", "comp")).alias("main"), F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_g")).where("_g > 1").drop("_g")
+    placed = cut(lookup(placed, "band", largest, "_n"), "placed")
+    left = placed.where("comp <> main").select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    right = placed.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"))
+    across = pairs_in_blocks(left, right, "band").where("ca <> cb and (cb = mb or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = cut(survivors(across, table_r), "more")
+    if more.head(1):
+        comp = components(links.unionByName(more), "a", "b")
+        comp = cut(table_r.select(F.col("rec_id").alias("node")).join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp")
+    # back from representatives to all texts
+    of_key = cut(reps.select("text_key", F.col("rep").alias("node"), "n_same").join(comp, "node").select("text_key", "comp", "n_same"), "keys")
+    of_raw = lookup(table.select(F.col("rec_id").alias("first"), "text_key"), "text_key", of_key, "n_same").select("first", F.col("comp").alias("group_id"))
+    of_raw = raw.select("raw", F.col("r.rec_id").alias("first"), "copies").join(of_raw, "first").select("raw", "group_id", "copies")
+    return lookup(texts.select("rec_id", F.md5("text").alias("raw")), "raw", of_raw, "copies").select("rec_id", "group_id")
+
+
+def _parts(df: DataFrame) -> int:
+    """Enough partitions for the Python stage even where the input has few files."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+def pairs_of_groups(groups: DataFrame) -> DataFrame:
+    """(id_a, id_b), smaller first: all pairs of records that share a group. Large groups are spread over blocks."""
+    several = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = cut(lookup(groups, "group_id", several, "_n"), "grouped")
+    left, right = many.select("group_id", F.col("rec_id").alias("id_a")), many.select("group_id", F.col("rec_id").alias("id_b"))
+    return pairs_in_blocks(left, right, "group_id").where("id_a < id_b").select("id_a", "id_b")
+
+
+def problem_texts(problems: DataFrame, generated: DataFrame) -> DataFrame:
+    """(rec_id, text) of both problem tables; their ids never meet."""
+    return problems.select(F.col("problem_id").alias("rec_id"), F.col("prompt").alias("text")).unionByName(generated.select(F.col("gen_id").alias("rec_id"), F.col("problem").alias("text")))
