@@ -70,6 +70,12 @@ class Statement:
                 self.index.setdefault(w, []).append(i)
         self.cache: dict[str, bool] = {}
 
+    def overlap(self, w: list[str], i: int) -> float:
+        """Shared words of `w` and the i-th instruction over all words of both."""
+        s = frozenset(map(bare, w))
+        n = len(s & self.sets[i])
+        return n / (len(s) + len(self.sets[i]) - n)
+
     def is_known(self, w: list[str]) -> bool:
         w = [bare(x) for x in w]
         s = frozenset(w)
@@ -95,13 +101,12 @@ class Statement:
             w = words(sentence)
             if w and not self.is_known(w):
                 out += w
-        cutting = True
-        while cutting:  # instructions at the end of a text without full stops
-            cutting = False
-            for k in self.known:
-                if len(out) > len(k) and self.is_known(out[-len(k) :]):
-                    out, cutting = out[: -len(k)], True
-                    break
+        while True:  # instructions at the end of a text without full stops: the one that fits best
+            fits = [(self.overlap(out[-len(k) :], i), len(k)) for i, k in enumerate(self.known) if len(out) > len(k)]
+            best = max(fits, default=(0.0, 0))
+            if best[0] < self.alike:
+                break
+            out = out[: -best[1]]
         return out
 
 
