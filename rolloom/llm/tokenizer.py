@@ -140,7 +140,7 @@ class Scanner:
 
     def bounds(self, text: str) -> np.ndarray:
         """Starts of the pieces of `text`, in which texts end with the code point 0x10FFFF (a piece of its own)."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = _codes(text)
         kinds = self.classes[codes]
         stop = codes == 0x10FFFF
         kinds[stop] = END
@@ -155,6 +155,28 @@ class Scanner:
         return np.flatnonzero(starts)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each piece: its characters as a polynomial, from sums over the whole text."""
+    n = len(codes)
+    if not _powers or len(_powers[0]) <= n:
+        size = max(1 << 21, 2 * n)
+        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.cumprod(up), np.cumprod(down)]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
+    h = (sums[starts + sizes] - sums[starts]) * _powers[1][starts]
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + sizes.astype(np.uint64)
+
+
 @lru_cache(maxsize=2)
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in the vocabulary file, by the format's rule."""
@@ -220,27 +242,35 @@ class Encoder:
             cache[p] = self.piece(p)
         return cache
 
-    def slices(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """All pieces of the texts, each text closed by the end mark; the pieces' starts, and where the end marks are."""
-        whole = self.END_MARK.join(texts) + self.END_MARK
-        starts = self.scanner.bounds(whole)
-        cuts = starts.tolist()
-        pieces = [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)])]
-        return pieces, starts, np.array([i for i, p in enumerate(pieces) if p == self.END_MARK])
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text's ids. Null and empty texts have none."""
         given = ["" if t is None else t for t in texts]
         if any(self.END_MARK in t for t in given):  # a text that holds the end mark itself goes by its parts
             return self._one_by_one(given)
-        pieces, _, ends = self.slices(given)
+        if not given:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        whole = self.END_MARK.join(given) + self.END_MARK
+        starts, codes = self.scanner.bounds(whole), _codes(whole)
+        sizes = np.diff(starts, append=len(codes))
+        # equal pieces get one number; `first` is where each stands first
+        _, first, number = np.unique(_hashes(codes, starts, sizes), return_index=True, return_inverse=True)
+        gap = np.repeat(starts[first][number] - starts, sizes)
+        same = codes == codes[np.arange(len(codes)) + gap] if np.array_equal(sizes, sizes[first][number]) else None
+        if same is None or not same.all():  # two pieces share a hash
+            return self._one_by_one(given)
+        pieces = [whole[a:b] for a, b in zip(starts[first].tolist(), (starts + sizes)[first].tolist())]
         cache = self._known(pieces)
-        cache[self.END_MARK] = (-1,)
-        flat = np.fromiter((x for p in pieces for x in cache[p]), dtype=np.int32)
-        closing = np.flatnonzero(flat == -1)
+        cache[self.END_MARK] = ()
+        found = [cache[p] for p in pieces]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        pool = np.fromiter((x for f in found for x in f), dtype=np.int32)
+        pool_at = np.cumsum(lengths) - lengths
+        each = lengths[number]
+        after = np.cumsum(each)
+        flat = pool[np.repeat(pool_at[number] - (after - each), each) + np.arange(after[-1])]
         offsets = np.zeros(len(given) + 1, dtype=np.int64)
-        offsets[1:] = closing - np.arange(len(closing))
-        return flat[flat >= 0], offsets
+        offsets[1:] = after[codes[starts] == 0x10FFFF]
+        return flat, offsets
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[np.ndarray] = []
