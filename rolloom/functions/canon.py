@@ -119,10 +119,11 @@ def canonical_text(text: Column) -> Column:
 
 
 # Writings that stand for a missing answer.
-PLACEHOLDERS = ["none", "null", "nan", "na", "n/a", "nil", "noanswer", "noanswerextracted", "noanswerfound", "notavailable", "notapplicable", "unknown", "tbd", "todo", "empty", "blank", "placeholder", "answer", "youranswer", "pending", "undefined"]
+PLACEHOLDERS = ["none", "null", "nan", "na", "n/a", "nil", "unknown", "tbd", "todo", "empty", "blank", "placeholder", "answer", "youranswer", "pending", "undefined", "notavailable", "notapplicable", "notgiven", "missing"]
 
 
 def no_answer(value: Column) -> Column:
-    """True for null, blank, marks only, and placeholders without content."""
-    plain = F.regexp_replace(fold(value), r"[^\p{L}\p{N}/]+", "")
-    return value.isNull() | plain.isin("", "/", *PLACEHOLDERS)
+    """True for null, blank, marks only (an empty box too), and placeholders without content."""
+    plain = F.regexp_replace(_strip_marks(fold(value)), r"[^\p{L}\p{N}/]+", "")
+    nothing = plain.isin("", "/", *PLACEHOLDERS) | plain.rlike("^no(answer|output|response|reply|result|content|text|data|value)(found|extracted|given|available|provided)?$")
+    return value.isNull() | ((F.length(value) <= 80) & nothing)
