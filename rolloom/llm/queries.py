@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import leakage, subjects, tokenizer, truncation
+from rolloom.llm import leakage, pairs, subjects, tokenizer, truncation
 from rolloom.llm.replies import all_replies
 from rolloom.session import read_table
 
@@ -21,6 +21,14 @@ def p2_share(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_share(_replies(spark, sf))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.faulty_pairs(_replies(spark, sf))
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defect_report(_replies(spark, sf))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_table(read_table(spark, sf, "documents"))
 
@@ -45,5 +53,5 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(*(read_table(spark, sf, t) for t in ("documents", "subjects", "subject_labels")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_share": p2_share, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_share": p2_share, "p4_found": p4_found, "p4_report": p4_report, "p6_ids": p6_ids, "p7_found": p7_found, "p7_passages": p7_passages, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
