@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Spaces beyond the ASCII ones, for character classes in SQL.
+SPACES = "".join(map(chr, [0xA0, 0x2000])) + "-" + "".join(map(chr, [0x200A, 0x202F, 0x3000]))
 SAMPLES = "s as (select distinct sample_id, source, step, problem_id, sample_idx, prompt, response, expected, predicted, reward, correct from samples)"
 RESULTS = "r as (select distinct result_id, run_id, source_id, sample_idx, coalesce(answer, '') as answer, reasoning, elapsed_s, error from results)"
 
@@ -146,7 +148,7 @@ def agreement_valid(spark: SparkSession, sf: str) -> DataFrame:
     return C.agreement_valid(results(spark, sf), ["run_id"], "answer", "result_id")
 
 
-GATE = "regexp_matches(replace(regexp_replace(lower(ground_truth_answer), '[\\s\\\\${}  ]+', '', 'g'), ',', '.'), '^[+-]?(\\d{1,10}\\.?\\d*|\\.\\d+)(/\\d+)?$')"
+GATE = "regexp_matches(replace(regexp_replace(lower(ground_truth_answer), '[\\s\\\\${}%s]+', '', 'g'), ',', '.'), '^[+-]?(\\d{1,10}\\.?\\d*|\\.\\d+)(/\\d+)?$')" % SPACES
 
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +175,7 @@ def mean_kept_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["mean_kept_agreement"] = SQL["mean_kept_agreement"].replace("coalesce(avg(agreement_rate), 0)", "round(coalesce(avg(agreement_rate), 0.0::double), 6)")
-STRIP = "regexp_replace({}, '^[\\s  -  ]+|[\\s  -  ]+$', '', 'g')"
+STRIP = "regexp_replace({}, '^[\\s%s]+|[\\s%s]+$', '', 'g')" % (SPACES, SPACES)
 
 
 @query(f"select min(gen_id) as gen_id from generated_problems where {STRIP.format('problem')} <> '' group by {STRIP.format('problem')}")
@@ -278,7 +280,7 @@ def _reward(name: str, reward: R.Reward, sql: str | None) -> None:
     query(f"{REWARD} select sample_id, ({sql})::double as reward from y" if sql else None)(run)
 
 
-WORDS = "len(regexp_extract_all(resp, '\\S+'))"
+WORDS = "len(regexp_extract_all(resp, '[^\\s%s]+'))" % SPACES
 SQL_BOXED = f"case when coalesce({number_sql('boxed')} = {HASHES}, false) then 1.0 else 0.0 end"
 _reward("reward_exact", R.exact_match, f"case when {REF} <> '' and contains({number_sql('resp')}, {REF}) then 1.0 else 0.0 end")
 _reward("reward_boxed", R.boxed_match, SQL_BOXED)
