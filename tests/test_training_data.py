@@ -1,0 +1,148 @@
+"""The general training-data operators against brute force, with nulls, empty and long texts, ties, hot groups and empty tables."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from rolloom.functions.words import words
+from rolloom.operators import crosssplit, ledger, nearpivot, skew
+from rolloom.operators.components import components
+
+LONG = "Problem number {} : " + " ".join(f"term{i}" for i in range(60)) + " What is the value of {} ?"
+
+
+def pairs(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_lookup_and_blocks_with_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(6000)], "i int, k int")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "_n").selectExpr("k", "_n", "k * 2 as v")
+    got = skew.lookup(rows, "k", table, "_n").collect()
+    assert len(got) == 6000 and all(r.v == 2 * r.k for r in got)
+    left, right = rows.selectExpr("k", "i as a"), rows.where("i < 300").selectExpr("k", "i as b")
+    assert skew.pairs_in_blocks(left, right, "k", per=100).count() == left.join(right, "k").count()
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(80)] + [(7, 7), (5000, 5000)] + [(2000, 2001 + i) for i in range(200)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.comp for r in components(spark.createDataFrame([*links, (None, 3)], "a bigint, b bigint"), "a", "b").collect()}
+    assert got == {x: find(x) for x in {y for link in links for y in link}}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+
+
+def near_rows():
+    rng = random.Random(3)
+    base = [[f"{rng.choice('abcdefgh')}{rng.randrange(400)}w" for _ in range(rng.randint(8, 60))] for _ in range(25)]
+    rows, i = [(None, "x")][:0], 0
+    for b in base:
+        for _ in range(6):
+            w = [x for x in b if rng.random() > 0.12] + [f"n{rng.randrange(9999)}" for _ in range(rng.randint(0, 5))]
+            rng.shuffle(w)
+            i += 1
+            rows.append((i, " ".join(w).upper() if i % 4 == 0 else ", ".join(w)))
+    rows += [(900, None), (901, ""), (902, " ?! "), (903, "In 5 steps find 7 of it"), (904, "In 66 steps find 123 of it"), (905, LONG.format(1, 2)), (906, LONG.format(1, 2))]
+    rows += [(1000 + k, "a hot copy of one text, again and again") for k in range(80)]
+    return rows
+
+
+def test_near_groups_against_brute_force(spark):
+    rows = near_rows()
+    bags = {i: Counter(words(t)) for i, t in rows if words(t)}
+    masks = {i: frozenset(Counter(w for w in words(t) if not any(c.isdigit() for c in w)).items()) for i, t in rows if words(t)}
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(bags)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = sum((bags[a] & bags[b]).values())
+            union = sum(bags[a].values()) + sum(bags[b].values()) - both
+            if both * 10 >= 7 * union or masks[a] and masks[a] == masks[b]:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(rows, "rec_id bigint, text string")
+    got = {r.rec_id: r.group_id for r in nearpivot.near_groups(df).collect()}
+    assert got == {i: find(i) for i in ids}
+    groups = spark.createDataFrame(list(got.items()), "rec_id bigint, group_id bigint")
+    wanted = {(a, b) for a in ids for b in ids if a < b and find(a) == find(b)}
+    assert pairs(nearpivot.pairs_of_groups(groups)) == wanted
+
+
+def test_near_groups_of_nothing(spark):
+    assert nearpivot.near_groups(spark.createDataFrame([], "rec_id bigint, text string")).collect() == []
+    assert nearpivot.near_groups(spark.createDataFrame([(1, None), (2, "")], "rec_id bigint, text string")).collect() == []
+
+
+PROBLEM = "Let $x$ be a {} number of type Foo with 23 trials. It is known that 0.586 of all schemes are ergodic. Find the value of y at level {}."
+
+
+def test_overlaps(spark):
+    body = PROBLEM.format("stationary", 44)
+    rows = [
+        (1, body, "866", "train"), (2, body.upper().replace(" ", "  "), "$866$", "Test "), (3, body.replace("stationary", "statoinary") + " Round your answer to 4 decimal places.", None, "val"),
+        (4, PROBLEM.format("stationary", 45), "866", "test"), (5, body, "867", "test"), (6, body, "866", None), (7, body, "866", "train"), (8, None, "1", "test"), (9, "", "1", "train"), (10, "short words only here", "", "train"), (11, "Short, words only HERE!", "", "test"),
+        (12, body, "work #### 866", "TRAIN"), (12, body, "work #### 866", "TRAIN"),
+    ]
+    rows += [(100 + i, f"Another {w} task about {w}{w} with {i * 7 + 11} and {i * 3 + 500} and {i + 9000}. Round your answer to 4 decimal places.", str(i), "train") for i, w in enumerate("abcdefghijklmnopqrst")]
+    df = spark.createDataFrame(rows, "problem_id bigint, prompt string, reference string, split string").selectExpr("*", "'s' as source", "1 as rec_id")
+    wanted = {(a, b) for a in (1, 7, 12) for b in (2, 3)} | {(10, 11)}
+    got = pairs(crosssplit.overlap_pairs(df))
+    assert {tuple(sorted(p)) for p in wanted} == got
+    report = {r.split: (r.problems, r.leaked, r.pairs) for r in crosssplit.overlap_report(df).collect()}
+    assert report == {"test": (5, 2, 4), "val": (1, 1, 3)}
+    assert crosssplit.overlap_pairs(df.where("false")).collect() == []
+
+
+def test_ledger_by_batches_is_the_same_as_at_once(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abcdefgh") if rng.random() < 0.6 else "hot") for i in range(500)] + [(600, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "rec_id bigint, key string")
+    book = ledger.Ledger(spark, buckets=4)
+    for part in range(3):
+        book.add(df.where(f"rec_id % 3 = {part}"), "key", "rec_id")
+    book.add(df.where("false"), "key", "rec_id")
+    wanted = {}
+    for i, k in rows:
+        if k:
+            n, first = wanted.get(k, (0, i))
+            wanted[k] = (n + 1, min(first, i))
+    assert {r.key: (r.n, r.first_id) for r in book.table().collect()} == wanted
+    assert pairs(ledger.copies(df, book)) == {(wanted[k][1], i) for i, k in rows if k and i != wanted[k][1]}
+
+
+def test_answer_copies(spark):
+    rows = [(3, 1, "1,234"), (1, 1, "$1234$"), (2, 1, "1234."), (4, 2, "1234"), (5, 1, None), (6, 1, " "), (7, 1, "N/A"), (8, 1, "N/A"), (2, 1, "1234."), (9, None, "5"), (10, None, "5")]
+    df = spark.createDataFrame(rows, "result_id bigint, run_id bigint, answer string").selectExpr("*", "timestamp'2025-01-01' + make_interval(0,0,0,cast(result_id as int)) as received_at", "1 as key")
+    records, book = ledger.build(ledger.answer_records(df))
+    assert pairs(ledger.copies(records, book)) == {(1, 2), (1, 3), (9, 10)}
+    assert {r.copies for r in ledger.collapsed(book).collect()} == {1, 2, 3}
+    records, book = ledger.build(ledger.answer_records(df.where("false")))
+    assert ledger.copies(records, book).collect() == []
+
+
+def test_problem_copies(spark):
+    rows = [(1, "Find X.", ["1", "2", ""]), (2, "find  x", ["2", "$1$", None]), (3, "Find X.", ["1", "2"]), (4, "Find X.", ["1", "1", "2"]), (5, None, None), (6, None, None), (7, "Find X.", []), (8, "Find X.", None)]
+    df = spark.createDataFrame(rows, "gen_id bigint, problem string, all_answers array<string>").selectExpr("*", "timestamp'2025-01-01' as ingested_at")
+    records, book = ledger.build(ledger.problem_records(df))
+    assert pairs(ledger.copies(records, book)) == {(1, 2), (5, 6)}
+
+
+@pytest.mark.parametrize("text,count", [("", 0), (None, 0), ("½ Ａb_c", 4)])
+def test_words(text, count):
+    assert len(words(text)) == count
