@@ -124,6 +124,7 @@ PLACEHOLDERS = ["none", "null", "nan", "na", "n/a", "nil", "unknown", "tbd", "to
 
 def no_answer(value: Column) -> Column:
     """True for null, blank, marks only (an empty box too), and placeholders without content."""
-    plain = F.regexp_replace(_strip_marks(fold(value)), r"[^\p{L}\p{N}/]+", "")
+    short = F.when(F.length(value) <= 80, value)  # longer texts aren't folded at all
+    plain = F.regexp_replace(_strip_marks(fold(short)), r"[^\p{L}\p{N}/]+", "")
     nothing = plain.isin("", "/", *PLACEHOLDERS) | plain.rlike("^no(answer|output|response|reply|result|content|text|data|value)(found|extracted|given|available|provided)?$")
-    return value.isNull() | ((F.length(value) <= 80) & nothing)
+    return value.isNull() | F.coalesce(nothing, F.lit(False))
