@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.operators.skew import lookup
 from rolloom.session import cut
 
 
+def _to_least(links: DataFrame) -> DataFrame:
+    """Links (u, v) with the smallest v of each u as _m. A node with very many links is split by the adaptive join, since the other side has one row for each node."""
+    return links.join(links.groupBy("u").agg(F.min("v").alias("_m")), "u")
+
+
 def _star(links: DataFrame) -> DataFrame:
-    """One contraction round over links (u, v), u > v: each node's neighbours are tied to its smallest neighbour."""
+    """One contraction round over links (u, v), u > v: each node's neighbours are tied to its smallest neighbour, larger ones first, then smaller ones."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).withColumn("_m", F.least("_m", "u"))
-    large = lookup(both, "u", least, "_n").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    small = lookup(large, "u", least, "_n")
-    return small.select(F.explode(F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+    large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.least("_m", "u").alias("v")).distinct()
+    small = _to_least(large)
+    ends = F.array(F.struct("u", F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))
+    return small.select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:

@@ -89,21 +89,22 @@ def near_groups(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     raw = texts.groupBy(F.md5("text").alias("raw")).agg(F.min(F.struct("rec_id", "text")).alias("r"), F.count(F.lit(1)).alias("copies"))
     table = cut(describe(raw.select("r.*").repartition(_parts(texts), "rec_id"), pivot_prints(texts), bands, rows), "pivots")
     # one representative for each word multiset
-    reps = table.groupBy("text_key").agg(F.min("rec_id").alias("rep"), F.min("mask_key").alias("mask_key"), F.count(F.lit(1)).alias("n_same"))
+    reps = cut(table.groupBy("text_key").agg(F.min("rec_id").alias("rep"), F.min("mask_key").alias("mask_key"), F.count(F.lit(1)).alias("n_same")), "keys")
     keys = reps.select(F.col("rep").alias("rec_id"))
     table_r = cut(table.join(keys, "rec_id", "left_semi"), "reps")
     masks = reps.where("mask_key is not null").groupBy("mask_key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    same_mask = lookup(reps.select("mask_key", F.col("rep").alias("a")), "mask_key", masks, "_n").where("a <> b").select("a", "b")
+    same_mask = lookup(reps.select("mask_key", F.col("rep").alias("a")), "mask_key", cut(masks, "masks"), "_n").where("a <> b").select("a", "b")
 
     banded = cut(table_r.select(F.col("rec_id").alias("rep"), F.explode("bands").alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "hubs")
     pairs = lookup(banded, "band", shared, "_n").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(survivors(pairs, table_r).unionByName(same_mask), "links")
     comp = cut(table_r.select(F.col("rec_id").alias("node")).join(components(links, "a", "b"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp")
 
     placed = banded.join(shared.select("band"), "band", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep")
+    placed = cut(placed, "placed")
     largest = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max_by("comp", F.struct("_c", "comp")).alias("main"), F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_g")).where("_g > 1").drop("_g")
-    placed = cut(lookup(placed, "band", largest, "_n"), "placed")
+    placed = cut(lookup(placed, "band", cut(largest, "largest"), "_n"), "several")
     left = placed.where("comp <> main").select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
     right = placed.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("main").alias("mb"))
     across = pairs_in_blocks(left, right, "band").where("ca <> cb and (cb = mb or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -114,7 +115,7 @@ def near_groups(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     # back from representatives to all texts
     of_key = cut(reps.select("text_key", F.col("rep").alias("node"), "n_same").join(comp, "node").select("text_key", "comp", "n_same"), "keys")
     of_raw = lookup(table.select(F.col("rec_id").alias("first"), "text_key"), "text_key", of_key, "n_same").select("first", F.col("comp").alias("group_id"))
-    of_raw = raw.select("raw", F.col("r.rec_id").alias("first"), "copies").join(of_raw, "first").select("raw", "group_id", "copies")
+    of_raw = cut(raw.select("raw", F.col("r.rec_id").alias("first"), "copies").join(cut(of_raw, "first"), "first").select("raw", "group_id", "copies"), "raw")
     return lookup(texts.select("rec_id", F.md5("text").alias("raw")), "raw", of_raw, "copies").select("rec_id", "group_id")
 
 
@@ -125,8 +126,9 @@ def _parts(df: DataFrame) -> int:
 
 def pairs_of_groups(groups: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller first: all pairs of records that share a group. Large groups are spread over blocks."""
+    groups = cut(groups, "groups")
     several = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = cut(lookup(groups, "group_id", several, "_n"), "grouped")
+    many = cut(lookup(groups, "group_id", cut(several, "sizes"), "_n"), "grouped")
     left, right = many.select("group_id", F.col("rec_id").alias("id_a")), many.select("group_id", F.col("rec_id").alias("id_b"))
     return pairs_in_blocks(left, right, "group_id").where("id_a < id_b").select("id_a", "id_b")
 
