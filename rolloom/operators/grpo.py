@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.functions.helpers import padded
+from rolloom.session import cut
 
 GROUP = ("step", "problem_id")
 
@@ -13,9 +14,10 @@ GROUP = ("step", "problem_id")
 def number_rows(rows: DataFrame, by: str, name: str = "rn") -> DataFrame:
     """Rows with their place (from 1) in the order of the unique column `by`, without gathering them in one task.
 
-    Rows are range-partitioned; each range is numbered by itself, after the number of rows in the ranges before it. Nulls come first.
+    Rows are range-partitioned; each range is numbered by itself, after the number of rows in the ranges before it. Nulls come first. The ranges come from a sample, so the
+    rows are written with their range once, and both the counts and the numbers are read from there.
     """
-    ranged = rows.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()), "ranges")
     local = Window.partitionBy("_range").orderBy(by)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row for each range: as many as there are shuffle partitions
