@@ -69,8 +69,9 @@ def until_target(candidates: DataFrame, kept: str, order: str, target: int) -> D
     """
     if target <= 0:
         return candidates.where("false")
-    last = candidates.where(F.col(kept)).select(order).orderBy(order).limit(target).agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    return candidates.crossJoin(F.broadcast(last)).where((F.col("_n") < target) | (F.col(order) <= F.col("_last"))).drop("_last", "_n")
+    first = candidates.where(F.col(kept)).select(order).orderBy(order).limit(target)
+    last = first.agg(F.when(F.count(F.lit(1)) == target, F.max(order))).scalar()  # null while the target isn't met
+    return candidates.withColumn("_last", last).where(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")
 
 
 def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -97,6 +98,6 @@ def run_totals(runs: DataFrame, run: str, n: str) -> DataFrame:
 def random_picks(options: DataFrame, order: str, picks: int, seed: int = 0) -> DataFrame:
     """`picks` draws with replacement, each option equally likely: (pick, and the option's columns). Repeatable by seed and order."""
     numbered = number_rows(options, order)
-    total = options.agg(F.count(F.lit(1)).alias("_n"))
-    drawn = options.sparkSession.range(picks).withColumnRenamed("id", "pick").crossJoin(F.broadcast(total)).withColumn("rn", F.pmod(F.xxhash64(F.lit(seed), "pick"), F.col("_n")) + 1).where("_n > 0")
+    total = options.agg(F.count(F.lit(1))).scalar()
+    drawn = options.sparkSession.range(picks).withColumnRenamed("id", "pick").withColumn("_n", total).where("_n > 0").withColumn("rn", F.pmod(F.xxhash64(F.lit(seed), "pick"), F.col("_n")) + 1)
     return drawn.join(numbered, "rn").drop("rn", "_n")

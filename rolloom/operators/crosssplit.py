@@ -47,9 +47,9 @@ def instructions(texts: DataFrame, share: float = SHARE, least: int = LEAST) ->
     distinct = texts.select("text").where("text is not null").distinct()
     sentences = distinct.select(F.xxhash64("text").alias("t"), F.explode(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?;:。]) ")).alias("s"))
     sentences = sentences.select("t", sentence_words(F.col("s")).alias("s")).where("length(s) >= 12").distinct()
-    total = distinct.agg(F.count(F.lit(1)).alias("_total"))
+    total = distinct.agg(F.count(F.lit(1))).scalar()
     common = sentences.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return [r[0] for r in common.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("_total") * share).select("s").collect()]
+    return [r[0] for r in common.where(F.col("n") > total * share).select("s").collect()]
 
 
 def bare(word: str) -> str:

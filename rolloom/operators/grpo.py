@@ -30,8 +30,8 @@ def batches(rows: DataFrame, by: str, size: int, keep_tail: bool = False) -> Dat
     numbered = number_rows(rows, by).withColumn("batch_idx", F.floor((F.col("rn") - 1) / size))
     if keep_tail:
         return numbered
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    return numbered.crossJoin(F.broadcast(total)).where(F.col("rn") <= F.floor(F.col("_all") / size) * size).drop("_all")
+    total = numbered.agg(F.count(F.lit(1))).scalar()
+    return numbered.where(F.col("rn") <= F.floor(total / size) * size)
 
 
 def schedule(n_rows: int, size: int, epochs: int) -> list[tuple[int, int, int, float]]:
@@ -44,8 +44,8 @@ def schedule(n_rows: int, size: int, epochs: int) -> list[tuple[int, int, int, f
 
 def epoch_steps(batched: DataFrame, epochs: int) -> DataFrame:
     """Batched rows for each epoch, with the step's number and done_frac."""
-    n = batched.agg((F.max("batch_idx") + 1).alias("n_batches"))
-    each = batched.crossJoin(F.broadcast(n)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    n = batched.agg(F.max("batch_idx") + 1).scalar()
+    each = batched.withColumn("n_batches", n).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     step = F.col("epoch") * F.col("n_batches") + F.col("batch_idx")
     return each.withColumn("step", step).withColumn("done_frac", (step + 1) / (F.col("n_batches") * epochs))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.words import Hasher, MinHash, folded, occurrences, set_key, words
 from rolloom.operators.components import components
+from rolloom.operators.sample import smallest
 from rolloom.operators.skew import lookup, pairs_in_blocks
 from rolloom.session import cut
 
@@ -34,7 +35,8 @@ _SCHEMA = "rec_id bigint, text_key bigint, mask_key bigint, n bigint, fp array<b
 
 def pivot_prints(texts: DataFrame, count: int = PIVOTS) -> np.ndarray:
     """Fingerprints of `count` texts, those with the smallest hash: a bounded number of rows for the driver."""
-    rows = texts.select("text").where("text is not null").distinct().orderBy(F.xxhash64("text"), "text").limit(count).collect()
+    distinct = texts.select("text").where("text is not null").distinct()
+    rows = smallest(distinct, F.xxhash64("text"), count, distinct.count(), "text").collect()
     hasher = Hasher()
     prints = [folded(occurrences(hasher(w))) for w in (words(r[0]) for r in rows) if w]
     return np.stack(prints) if prints else np.zeros((1, 8), dtype=np.int64)

@@ -16,8 +16,8 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, weight: str) -> DataFram
     1/HOT_SHARE of all rows, so the hot part of `table` is broadcast under a proven bound; the other keys are
     shuffled, and none of them is larger than that share. Rows with a null key have no match. `weight` is dropped.
     """
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_total"))
-    marked = table.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(weight) * HOT_SHARE > F.col("_total")).drop("_total", weight)
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
+    marked = table.withColumn("_hot", F.col(weight) * HOT_SHARE > total).drop(weight)
     hot = marked.where("_hot").drop("_hot")
     cold = marked.where("not _hot").drop("_hot")
     names = F.broadcast(hot.select(key))
@@ -34,9 +34,8 @@ def pairs_in_blocks(left: DataFrame, right: DataFrame, key: str, per: int = 2000
     in common but the key. The block comes from a hash of the left row, so a repeated task gives the same blocks.
     """
     sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    wide = F.greatest(F.lit(per), F.ceil(F.col("_total") / HOT_SHARE))
-    parts = F.broadcast(sizes.where(F.col("_n") > per).crossJoin(F.broadcast(total)).where(F.col("_n") > wide).select(key, F.ceil(F.col("_n") / wide).cast("int").alias("_parts")))
+    wide = F.greatest(F.lit(per), F.ceil(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar() / HOT_SHARE))
+    parts = F.broadcast(sizes.withColumn("_wide", wide).where(F.col("_n") > F.col("_wide")).select(key, F.ceil(F.col("_n") / F.col("_wide")).cast("int").alias("_parts")))
     a = left.join(parts, key, "left").withColumn("_block", F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_parts"), F.lit(1)))).drop("_parts")
     b = right.join(parts, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint") - 1))).drop("_parts")
     return a.join(b, [key, "_block"]).drop("_block")
