@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.canon import no_answer
 from rolloom.functions.words import MIX
-from rolloom.llm.replies import Reader, ending_marks, grams, prepared, shared
+from rolloom.llm.replies import Reader, ending_marks, endings, grams, known_endings, shared
 from rolloom.llm.truncation import PROPER
+from rolloom.session import cut
 
 #: Pairs the classifier is fitted on, at most: those with the smallest hash of their id. Each gives up to seven synthetic ones.
 SAMPLE = 1500
@@ -67,26 +69,31 @@ class Featurer:
     def __init__(self, known: dict[int, float]):
         self.reader = Reader()
         self.known = known
-        tongues: dict[int, int] = {}
+        self.tongues: dict[int, int] = {}
         for j, lang in enumerate(FREQUENT):
             for w in FREQUENT[lang]:
-                h = int(self.reader.hasher([w])[0])
-                tongues[h] = tongues.get(h, 0) | (1 << j)
-        self.speech = np.array(sorted(tongues), dtype=np.uint64)
-        self.speech_bits = np.array([tongues[int(h)] for h in self.speech], dtype=np.int64)
+                h = xxhash.xxh64_intdigest(w)
+                self.tongues[h] = self.tongues.get(h, 0) | (1 << j)
+        self.speech = np.array(sorted(self.tongues), dtype=np.uint64)
+        self.bits = np.array([self.tongues[int(h)] for h in self.speech], dtype=np.int64)
+        #: Hits of each language by the bits of a word.
+        self.hits = ((np.arange(1 << len(FREQUENT))[:, None] >> np.arange(len(FREQUENT))) & 1).astype(float)
 
     def tongue(self, h: np.ndarray, at: np.ndarray, texts: list[str | None]) -> np.ndarray:
         """For each text the share of each language among its hits; zeros where there are too few."""
         place = np.minimum(np.searchsorted(self.speech, h), len(self.speech) - 1)
-        bits = np.where(self.speech[place] == h, self.speech_bits[place], 0)
-        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        hit = np.flatnonzero(self.speech[place] == h)
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))[hit]
         out = np.zeros((len(texts), len(TONGUES)))
+        which = self.bits[place[hit]]
         for j in range(len(FREQUENT)):
-            out[:, j] = np.bincount(owner, weights=(bits >> j) & 1, minlength=len(texts))
+            out[:, j] = np.bincount(owner, weights=self.hits[which, j], minlength=len(texts))
         for i, t in enumerate(texts):
             if t and not t.isascii():
                 codes = np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)
-                codes = codes[codes >= 0x370]
+                codes = codes[(codes >= 0x370) & ((codes < 0x2000) | (codes >= 0x3040))]  # without signs and punctuation
+                if len(codes) < 4:
+                    continue
                 for j, (a, b) in enumerate(SCRIPTS.values()):
                     out[i, len(FREQUENT) + j] = ((codes >= a) & (codes <= b)).sum() * 0.5
                 # single Greek letters are mathematics
@@ -100,9 +107,9 @@ class Featurer:
         """Rows, columns and values of the n-gram features, and the dense matrix."""
         n = len(texts)
         h, at = self.reader.read(texts)
-        p, p_at = self.reader.read(problems)
-        # an answer of a few tokens can't repeat a problem
-        a, a_at = self.reader.read([x if x and len(x) >= 40 else None for x in answers])
+        p, p_at = self.reader.read_again(problems)
+        # an answer of a few tokens can't repeat a problem, and one that is the reply itself has been looked at
+        a, a_at = self.reader.read([x if x and len(x) >= 40 and x != t else None for x, t in zip(answers, texts)])
         with np.errstate(over="ignore"):
             in_problem, in_reply = shared(h, at, p, p_at)
             answer_in, problem_in = shared(a, a_at, p, p_at)
@@ -159,8 +166,8 @@ def synthetic(sample: list[tuple[str, str, str, str]], seed: int = 5) -> list[tu
     out: list[tuple[str, str, str, str | None]] = []
     for lang, q, a, t in sample:
         out.append((q, a, t, None))
-        cut = t.rstrip()[: rng.randint(max(20, len(t) // 10), max(21, int(len(t) * 0.97)))].rstrip()
-        out.append((q, a if rng.random() < 0.2 else "", cut + rng.choice(["", "", "", "", "", "…", "�"]), "truncated"))
+        part = t.rstrip()[: rng.randint(max(20, len(t) // 10), max(21, int(len(t) * 0.97)))].rstrip()
+        out.append((q, a if rng.random() < 0.2 else "", part + rng.choice(["", "", "", "", "", "…", "�"]), "truncated"))
         mark = rng.choice(["", "", '"', "> "])
         copy = rng.choice(LEADS) + mark + q + (mark if mark == '"' else "") + rng.choice(CUES)
         copy = rng.choice([copy, copy, copy.lower(), copy.upper()])
@@ -262,8 +269,7 @@ def faulty_pairs(replies: DataFrame, most: int = SAMPLE) -> DataFrame:
     A null, blank or placeholder reply is `empty`, and so is a pair without another defect whose answer is one. Pairs without a problem can only be truncated, refusals or
     empty. Redelivered rows come out once. The classifier is broadcast: its size doesn't depend on the data.
     """
-    slims, known, _ = prepared(replies)
-    del slims
+    known = known_endings(replies, cut(endings(replies), "endings"))
     featurer = Featurer(known)
     model = Classifier(featurer, synthetic(sound_sample(replies, known, most)))
     held = replies.sparkSession.sparkContext.broadcast((known, model))

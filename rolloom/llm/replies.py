@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.functions.words import MIX, Hasher
+from rolloom.functions.words import MIX
 from rolloom.operators.skew import lookup
 from rolloom.session import cut
 
@@ -42,20 +43,70 @@ def all_replies(results: DataFrame, runs: DataFrame, samples: DataFrame) -> Data
     return results_replies(results, runs).unionByName(samples_replies(samples))
 
 
-class Reader:
-    """Token hashes of many texts in one array."""
+class _Index(dict):
+    """Token to number; a new token gets the next one, numbers share one."""
 
-    def __init__(self) -> None:
-        self.hasher = Hasher()
+    def __init__(self, hashes: list[int]) -> None:
+        super().__init__()
+        self.hashes = hashes
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Token hashes of all texts, and where each text's begin (one more entry than texts). Every number has the same hash."""
-        many, at = [], [0]
+    def __missing__(self, token: str) -> int:
+        if token != "#" and (token[0].isdigit() or token[-1].isdigit() or len(token) > 2 and token[0] == "("):
+            n = self["#"]
+        else:
+            n = len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(token))
+        self[token] = n
+        return n
+
+
+class Reader:
+    """Token hashes of many texts in one array. Every number has the same hash."""
+
+    def __init__(self, most: int = 1 << 18, texts: int = 4000) -> None:
+        self.most, self.texts = most, texts
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.hashes: list[int] = []
+        self.index = _Index(self.hashes)
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.kept: dict[str, np.ndarray] = {}
+
+    def table(self) -> np.ndarray:
+        """Hash of each token number."""
+        if len(self.known) < len(self.hashes):
+            self.known = np.concatenate([self.known, np.array(self.hashes[len(self.known) :], dtype=np.uint64)])
+        return self.known
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts, and where each text's begin (one more entry than texts)."""
+        if len(self.index) > self.most:
+            self.fresh()
+        many: list[str] = []
+        at = [0]
         for t in texts:
             if t:
-                many += ["#" if x[0].isdigit() or x[-1].isdigit() or len(x) > 2 and x[0] == "(" else x for x in TOKEN.findall(t.lower())]
+                many += TOKEN.findall(t.lower())
             at.append(len(many))
-        return self.hasher(many), np.array(at, dtype=np.int64)
+        return np.fromiter(map(self.index.__getitem__, many), dtype=np.int32, count=len(many)), np.array(at, dtype=np.int64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token hashes of all texts, and where each text's begin."""
+        numbers, at = self.numbers(texts)
+        return self.table()[numbers], at
+
+    def read_again(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts many of which were read before: the hashes of some thousand texts are kept."""
+        fresh = [t for t in dict.fromkeys(texts) if t and t not in self.kept]
+        if len(self.kept) + len(fresh) > self.texts:
+            self.kept, fresh = {}, [t for t in dict.fromkeys(texts) if t]
+        h, at = self.read(fresh)
+        for t, a, b in zip(fresh, at[:-1], at[1:]):
+            self.kept[t] = h[a:b]
+        none = np.zeros(0, dtype=np.uint64)
+        parts = [self.kept[t] if t else none for t in texts]
+        return np.concatenate([*parts, none]), np.cumsum([0, *map(len, parts)], dtype=np.int64)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -74,8 +125,9 @@ _DECIMAL = re.compile(r"(?<![\d.,])[-−]?0\.$|[,.]\d{0,2},$")
 
 def ending_marks(text: str) -> tuple[bool, bool, bool]:
     """Of a text without white space at its end: cut mark at the end; full stop at the end (not of a decimal); a block or formula left open."""
-    broken = bool(_OPEN.search(text))
-    stop = not broken and bool(_STOP.search(text)) and not _DECIMAL.search(text)
+    tail = text[-40:]
+    broken = bool(_OPEN.search(tail))
+    stop = not broken and bool(_STOP.search(tail)) and not _DECIMAL.search(tail)
     left = text.count("$") % 2 == 1 or text.count("```") % 2 == 1 or text.count("{") > text.count("}") or text.count("\\[") > text.count("\\]") or text.count("\\(") > text.count("\\)")
     return broken, stop, left
 
@@ -114,7 +166,7 @@ def slim(replies: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 tbl, rec, source, problems, _, texts = (c.to_pylist() for c in batch.columns)
                 h, starts = reader.read(texts)
-                p, p_at = reader.read(problems)
+                p, p_at = reader.read_again(problems)
                 with np.errstate(over="ignore"):
                     reply_in, problem_in = shared(h, starts, p, p_at)
                     last, last_two = grams(h, 3).view(np.int64), grams(h, 2).view(np.int64)
@@ -129,6 +181,36 @@ def slim(replies: DataFrame) -> DataFrame:
     return replies.select("tbl", "rec_id", "source", "problem", "answer", "text").mapInArrow(run, _SLIM)
 
 
+#: Characters that surely hold the last tokens of a text, but for very long ones.
+TAIL = 400
+_ENDS = "tbl string, rec_id bigint, tokens int, ending bigint, short_ending bigint"
+
+
+def endings(replies: DataFrame) -> DataFrame:
+    """(tbl, rec_id, tokens, ending, short_ending): of the slim rows what `known_endings` needs. Only the last tokens of each text are formed; tokens counts no more than those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                tbl, rec, texts = (c.to_pylist() for c in batch.columns)
+                tails = [t and t.rstrip()[-TAIL:] for t in texts]
+                numbers, starts = reader.numbers(tails)
+                short = [i for i, n in enumerate(np.diff(starts)) if n < 8 and texts[i] and len(texts[i]) > TAIL]
+                for i in short:  # tokens of hundreds of characters: all of the text
+                    tails[i] = texts[i]
+                h, starts = reader.read(tails) if short else (reader.table()[numbers], starts)
+                with np.errstate(over="ignore"):
+                    last, last_two = grams(h, 3).view(np.int64), grams(h, 2).view(np.int64)
+                n = np.diff(starts)
+                end = np.maximum(starts[1:] - 1, 0)
+                pick = lambda x: np.where(n > 0, x[end] if len(x) else 0, 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tbl, type=pa.string()), pa.array(rec, type=pa.int64()), pa.array(n.astype(np.int32)), pa.array(pick(last)), pa.array(pick(last_two))], names=[f.split()[0] for f in _ENDS.split(", ")])
+
+    return replies.select("tbl", "rec_id", "text").mapInArrow(run, _ENDS)
+
+
 def known_endings(replies: DataFrame, slims: DataFrame) -> dict[int, float]:
     """How likely a reply that stands at each known ending is complete: of all places where its tokens stand, the share at the end of a reply.
 
