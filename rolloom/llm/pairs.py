@@ -21,6 +21,7 @@ from rolloom.functions.canon import no_answer
 from rolloom.functions.words import MIX
 from rolloom.llm.replies import Reader, ending_marks, endings, grams, known_endings, shared
 from rolloom.llm.truncation import PROPER
+from rolloom.operators.sample import smallest
 from rolloom.session import cut
 
 #: Pairs the classifier is fitted on, at most: those with the smallest hash of their id. Each gives up to seven synthetic ones.
@@ -249,9 +250,9 @@ class Classifier:
         return out
 
 
-def sound_sample(replies: DataFrame, known: dict[int, float], most: int = SAMPLE) -> list[tuple[str, str, str, str]]:
-    """At most `most` pairs that look sound, with their language: long enough, properly ended, in the problem's language, no copy."""
-    some = replies.where("problem is not null and length(text) >= 150").orderBy(F.xxhash64("tbl", "rec_id"), "tbl", "rec_id").limit(most).select("problem", "answer", "text").collect()
+def sound_sample(replies: DataFrame, known: dict[int, float], total: int, most: int = SAMPLE) -> list[tuple[str, str, str, str]]:
+    """Of about `total` replies at most `most` pairs that look sound, with their language: long enough, properly ended, in the problem's language, no copy."""
+    some = smallest(replies.where("problem is not null and length(text) >= 150"), F.xxhash64("tbl", "rec_id"), most, total, "tbl", "rec_id").select("problem", "answer", "text").collect()
     if not some:
         return []
     featurer = Featurer(known)
@@ -269,9 +270,10 @@ def faulty_pairs(replies: DataFrame, most: int = SAMPLE) -> DataFrame:
     A null, blank or placeholder reply is `empty`, and so is a pair without another defect whose answer is one. Pairs without a problem can only be truncated, refusals or
     empty. Redelivered rows come out once. The classifier is broadcast: its size doesn't depend on the data.
     """
-    known = known_endings(replies, cut(endings(replies), "endings"))
+    ends = cut(endings(replies), "endings")
+    known, total = known_endings(replies, ends), ends.count()
     featurer = Featurer(known)
-    model = Classifier(featurer, synthetic(sound_sample(replies, known, most)))
+    model = Classifier(featurer, synthetic(sound_sample(replies, known, total, most)))
     held = replies.sparkSession.sparkContext.broadcast((known, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

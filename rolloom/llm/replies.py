@@ -218,8 +218,8 @@ def known_endings(replies: DataFrame, slims: DataFrame) -> dict[int, float]:
     three tokens, or the last two. Known ones close at least SHARE of the replies, so there are at most 2 / SHARE of them. All replies are counted, redelivered ones once for the endings.
     """
     once = slims.where("tokens >= 3").select("tbl", "rec_id", F.explode(F.array("ending", "short_ending")).alias("ending")).distinct()
-    total = once.agg((F.count(F.lit(1)) / 2).alias("_total"))
-    ends = {r[0]: r[1] for r in once.groupBy("ending").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("_total") * SHARE).select("ending", "n").collect()}
+    total = once.agg(F.count(F.lit(1)) / 2).scalar()
+    ends = {r[0]: r[1] for r in once.groupBy("ending").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).where(F.col("n") >= total * SHARE).select("ending", "n").collect()}
     if not ends:
         return {}
     wanted = np.array(sorted(ends), dtype=np.int64)
