@@ -144,7 +144,7 @@ def normal_number(text: Column) -> Column:
 
 
 # The LaTeX writings that cleaning takes out of a box.
-LATEX_NOISE = r"\\left|\\right|\\lfloor|\\rfloor|\\lceil|\\rceil|\\,|\;|\\!|\\quad|\\text\{[^}]*\}|\\mathrm\{[^}]*\}|\$|\\"
+LATEX_NOISE = r"\\(?:displaystyle|bigl?|Bigl?|bigr?|Bigr?|left|right|text\{[^}]*\}|lfloor|rfloor|,|;| )"
 
 
 def clean_boxed(raw: Column) -> Column:
@@ -154,14 +154,17 @@ def clean_boxed(raw: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _ten_digits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Numbers and fractions to ten significant digits; other texts as they are."""
+    """Plain numbers and fractions of them to ten significant digits; other texts (with exponents or a plus sign too) as they are."""
     from fractions import Fraction
 
     def one(x: str | None) -> str | None:
         if x is None:
             return None
         try:
-            return "%.10g" % float(Fraction(x) if "/" in x else float(x))
+            digits = x.replace("-", "").replace(".", "")
+            if "/" in x and digits.replace("/", "").isdigit():
+                return f"{float(Fraction(x)):.10g}"
+            return f"{float(x):.10g}" if digits.isdigit() else x
         except (ValueError, ZeroDivisionError, OverflowError):
             return x
 
@@ -178,7 +181,7 @@ def gate_answer(answer: Column) -> Column:
 def strip_latex(text: Column) -> Column:
     """\\text{x}, \\mathrm{x} and the like as x; thin spaces out."""
     text = F.regexp_replace(strip(text), r"\\(?:text|texttt|textbf|mathrm|mathtt)\{([^}]*)\}", "$1")
-    return F.replace(text, F.lit("\\,"), F.lit(""))
+    return strip(F.replace(text, F.lit("\\,"), F.lit("")))
 
 
 def text_only(text: Column) -> Column:

@@ -43,19 +43,18 @@ answer_tag_match = Reward("answer_tag_match", lambda t, r: _one(F.coalesce(X.nor
 answer_tag_format_bonus = Reward("answer_tag_format_bonus", lambda t, r: _bonus(X.answer_tag(t).isNotNull()))
 
 
-def _molecules(a: Column, b: Column) -> Column:
-    """Equal as molecules; as stripped texts where either is none."""
-    x, y = X.canonical_molecule(a), X.canonical_molecule(b)
-    return F.coalesce(x == y, X.strip(a) == X.strip(b))
+def _molecules(predicted: Column, reference: Column, cleaned: Column) -> Column:
+    """Equal as molecules (the reference in its cleaned writing); as stripped texts, the reference as it stands, where either is none."""
+    x, y = X.canonical_molecule(predicted), X.canonical_molecule(cleaned)
+    return F.coalesce(x == y, X.strip(predicted) == X.strip(reference))
 
 
-smiles_match = Reward("smiles_match", lambda t, r: _one(F.coalesce(_molecules(X.strip_latex(X.boxed(t)), X.strip_latex(r)), F.lit(False))))
+smiles_match = Reward("smiles_match", lambda t, r: _one(F.coalesce(_molecules(X.strip_latex(X.boxed(t)), r, X.strip_latex(r)), F.lit(False))))
 
 
 def check_correct(predicted: Column, reference: Column) -> Column:
-    """Whether a predicted molecule is the reference; an empty prediction is wrong."""
-    a, b = X.text_only(predicted), X.text_only(reference)
-    return F.coalesce((predicted != "") & _molecules(a, b), F.lit(False))
+    """Whether a predicted molecule, without \\text, is the reference; an empty prediction is wrong."""
+    return F.coalesce((predicted != "") & _molecules(X.text_only(predicted), reference, reference), F.lit(False))
 
 
 def regex_match(pattern: str) -> Reward:

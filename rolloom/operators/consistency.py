@@ -57,7 +57,7 @@ def keep_gate(rate: Column, answer: Column, gate: Column, low: float = 0.60, hig
 def gate_status(rate: Column, answer: Column, gate: Column, low: float = 0.60, high: float = 0.80) -> Column:
     """Why a candidate is kept or skipped: empty, then non-numeric, then KEEP, else skip."""
     return (
-        F.when(F.coalesce(answer, F.lit("")) == "", "skip (no answer)").when(~F.coalesce(is_numeric(gate), F.lit(False)), F.concat(F.lit("skip (non-numeric: "), F.left(answer, F.lit(40)), F.lit(")")))
+        F.when(F.coalesce(answer, F.lit("")) == "", "skip (empty answer)").when(~F.coalesce(is_numeric(gate), F.lit(False)), F.concat(F.lit("skip (non-numeric: "), F.left(answer, F.lit(40)), F.lit(")")))
         .when(F.coalesce(rate.between(F.lit(low), F.lit(high)), F.lit(False)), "KEEP").otherwise("skip")
     )
 
@@ -82,7 +82,7 @@ def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 def compiled(keeps: DataFrame) -> DataFrame:
     """(prompt, reference, agreement_rate, source_run) of exploded keeps (path, pos, problem...), the first of each problem."""
-    return first_wins(keeps, "problem", ["path", "pos"]).select(strip(F.col("problem")).alias("prompt"), F.col("ground_truth_answer").alias("reference"), "agreement_rate", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("source_run"))
+    return first_wins(keeps, "problem", ["path", "pos"]).select(strip(F.col("problem")).alias("prompt"), F.coalesce("ground_truth_answer", F.lit("")).alias("reference"), "agreement_rate", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("source_run"))
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, text: str, order: list[str]) -> DataFrame:

@@ -155,7 +155,7 @@ def _gated(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "generated_problems").withColumn("gate", X.gate_answer(F.col("ground_truth_answer")))
 
 
-@query(f"select gen_id, case when coalesce(ground_truth_answer, '') = '' then 'skip (no answer)' when not {GATE} then 'skip (non-numeric: ' || left(ground_truth_answer, 40) || ')' when agreement_rate between 0.6::double and 0.8::double then 'KEEP' else 'skip' end as status from generated_problems")
+@query(f"select gen_id, case when coalesce(ground_truth_answer, '') = '' then 'skip (empty answer)' when not {GATE} then 'skip (non-numeric: ' || left(ground_truth_answer, 40) || ')' when agreement_rate between 0.6::double and 0.8::double then 'KEEP' else 'skip' end as status from generated_problems")
 def keep_gate_status(spark: SparkSession, sf: str) -> DataFrame:
     return _gated(spark, sf).select("gen_id", C.gate_status(F.col("agreement_rate"), F.col("ground_truth_answer"), F.col("gate")).alias("status"))
 
@@ -184,7 +184,7 @@ def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""select {STRIP.format('problem')} as prompt, ground_truth_answer as reference, agreement_rate, coalesce(source_run, '(none)') as source_run from generated_problems where kept and {STRIP.format('problem')} <> ''
+    f"""select {STRIP.format('problem')} as prompt, coalesce(ground_truth_answer, '') as reference, agreement_rate, coalesce(source_run, '(none)') as source_run from generated_problems where kept and {STRIP.format('problem')} <> ''
     qualify row_number() over (partition by {STRIP.format('problem')} order by coalesce(source_run, '(none)'), gen_id) = 1"""
 )
 def compile_problems(spark: SparkSession, sf: str) -> DataFrame:

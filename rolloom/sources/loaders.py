@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,7 +153,7 @@ def attempted_solutions(spark: SparkSession, pattern: str) -> DataFrame:
     docs = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v")).where(F.schema_of_variant("v").startswith("ARRAY"))
     items = docs.select("path", F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "x"))
     text = F.when(F.schema_of_variant("x") == "STRING", F.col("x").cast("string")).otherwise(F.try_variant_get("x", "$.reasoning", "string"))
-    rows = items.select("path", "pos", text.alias("solution")).where("solution <> ''")
+    rows = items.select("path", "pos", text.alias("solution")).where("solution is not null")
     first = rows.agg(F.min("path").alias("path"))
     return rows.join(F.broadcast(first), "path")
 
@@ -179,7 +178,7 @@ def read_env(text: str, existing: dict[str, str] | None = None) -> dict[str, str
         if value[:1] in ('"', "'"):
             value = value[1:].partition(value[0])[0]
         else:
-            value = re.split(r"\s#", value)[0].strip()
+            value = value.partition(" #")[0].strip()
         out.setdefault(key.strip(), value)
     return out
 

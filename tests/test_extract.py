@@ -51,6 +51,9 @@ CASES = [
     (X.gate_answer, "0,5", "0.5"),
     (X.gate_answer, r"$\{3\}$", "3"),
     (X.gate_answer, "326400000000", "3.264e+11"),
+    (X.gate_answer, "1e5", "1e5"),
+    (X.gate_answer, "+5", "+5"),
+    (X.clean_boxed, r"\text{about} \bigl 7,000.\;", "7000"),
     (X.is_numeric, "0.6079", True),
     (X.is_numeric, "-3", True),
     (X.is_numeric, "3/2", True),

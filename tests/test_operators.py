@@ -47,7 +47,7 @@ def test_training_step(spark):
 def test_gate_and_target(spark):
     c = spark.createDataFrame([(1, 0.6, "5"), (2, 0.8, "x"), (3, 0.7, ""), (4, 0.9, "5"), (5, 0.8, "7"), (6, 0.7, "1")], "n int, rate double, a string")
     out = c.select("n", C.gate_status(F.col("rate"), F.col("a"), F.col("a")).alias("s"), C.keep_gate(F.col("rate"), F.col("a"), F.col("a")).alias("k"))
-    assert [r.s for r in out.orderBy("n").collect()] == ["KEEP", "skip (non-numeric: x)", "skip (no answer)", "skip", "KEEP", "KEEP"]
+    assert [r.s for r in out.orderBy("n").collect()] == ["KEEP", "skip (non-numeric: x)", "skip (empty answer)", "skip", "KEEP", "KEEP"]
     assert C.until_target(out, "k", "n", 2).count() == 5
     assert C.until_target(out, "k", "n", 9).count() == 6
     assert C.until_target(out, "k", "n", 0).count() == 0
@@ -111,7 +111,7 @@ def test_documents(spark, tmp_path):
     assert loaders.resume_problems(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "t1.json").write_text(json.dumps(["", {"reasoning": "why"}, "text"]))
     (tmp_path / "t0.json").write_text("{}")
-    assert [r.solution for r in loaders.attempted_solutions(spark, str(tmp_path / "t*.json")).orderBy("pos").collect()] == ["why", "text"]
+    assert [r.solution for r in loaders.attempted_solutions(spark, str(tmp_path / "t*.json")).orderBy("pos").collect()] == ["", "why", "text"]
     assert loaders.read_env("# c\nA=1 # x\nB='q # r'\nbad\nC=3", {"C": "9"}) == {"A": "1", "B": "q # r", "C": "9"}
     assert loaders.first_setting(" ", "v", "z") == "v"
 
