@@ -65,13 +65,13 @@ class Reader:
 
     def __init__(self, most: int = 1 << 18, texts: int = 4000) -> None:
         self.most, self.texts = most, texts
+        self.kept: dict[str, np.ndarray] = {}  # hashes, which stay right when the numbers begin anew
         self.fresh()
 
     def fresh(self) -> None:
         self.hashes: list[int] = []
         self.index = _Index(self.hashes)
         self.known = np.zeros(0, dtype=np.uint64)
-        self.kept: dict[str, np.ndarray] = {}
 
     def table(self) -> np.ndarray:
         """Hash of each token number."""

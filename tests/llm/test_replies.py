@@ -99,3 +99,11 @@ def test_nothing(spark):
 @pytest.mark.parametrize("text,marks", [("done.", (False, True, False)), ("and th…", (True, False, False)), ("$x", (False, False, True)), ("the weight is 0.", (False, False, False)), ('He said "no."', (False, True, False)), ("```\nx", (False, False, True))])
 def test_ending_marks(text, marks):
     assert L.ending_marks(text) == marks
+
+
+def test_reader_past_its_cap():
+    small, large = L.Reader(most=10), L.Reader()
+    problems = [f"word{chr(97 + i)}" for i in range(4)]
+    small.read_again(problems[:2]), small.read([f"text{chr(97 + i)}" for i in range(20)])
+    for a, b in zip(small.read_again([*problems, None]), large.read_again([*problems, None])):
+        assert a.tolist() == b.tolist()
