@@ -1,7 +1,7 @@
 """Held-out test statements inside a training corpus.
 
 All runs of 12 words of the items' statements become patterns of one Aho-Corasick automaton over word numbers; each document is read once.
-A statement is a prompt without the standard instructions at its end, which several items share.
+A statement is a prompt without the standard instructions at its end, which several different items share; a prompt of nothing else is kept whole.
 """
 
 from __future__ import annotations
@@ -71,9 +71,9 @@ def spans(text: str) -> list[tuple[int, int]]:
 def statements(items: DataFrame) -> tuple[list[tuple[int, list[str]]], list[str]]:
     """The items' own words. At most ITEMS rows come here at once."""
     known = instructions(items.select(F.col("prompt").alias("text")), share=0.0, least=2)
-    own = Statement(known)
+    own = Statement(known, end_only=True)
     rows = items.where("item_id is not null and prompt is not null").select("item_id", "prompt").distinct().collect()
-    return [(r[0], own(r[1])) for r in rows], known
+    return [(r[0], own(r[1]) or words(r[1])) for r in rows], known
 
 
 def _scan(documents: DataFrame, items: list[tuple[int, list[str]]], run: int) -> DataFrame:

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.functions.canon import canonical_answer, fold, no_answer
+from rolloom.functions.canon import canonical_answer, fold, let, no_answer
 from rolloom.functions.words import Hasher, MinHash, occurrences, set_key, words
 from rolloom.operators.skew import pairs_in_blocks
 from rolloom.session import cut
 
-#: A sentence is a standard instruction when it stands in more than this share of the distinct prompts, and in more than LEAST of them.
+#: A sentence is a standard instruction when it closes more than this share of the distinct prompts, and more than LEAST different ones.
 SHARE, LEAST = 0.002, 5
 #: Same wording: shared words over all words of both statements.
 SHARED, OF = 7, 10
@@ -42,14 +42,30 @@ def sentence_words(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(fold(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def least_run(words: Column) -> Column:
+    """The smallest hash of three words in a row: edited copies of one text mostly have the same, other texts seldom."""
+    return let(words, lambda w: F.array_min(F.transform(w, lambda _, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+
+
 def instructions(texts: DataFrame, share: float = SHARE, least: int = LEAST) -> list[str]:
-    """Sentences that more than `share` of the distinct texts hold: at most (sentences of a text) / share of them, so the driver can hold them."""
+    """Sentences that close more than `share` of the distinct texts, and more than `least` different ones: at most (sentences of a text) / share of them, so the driver can hold them.
+
+    Edited copies of one text don't count as different: the groups of remaining statements are weighed by their sizes (the square of all over the sum of squares).
+    Sentences that stand before other instructions only are found when those are taken off.
+    """
     distinct = texts.select("text").where("text is not null").distinct()
-    sentences = distinct.select(F.xxhash64("text").alias("t"), F.explode(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?;:。]) ")).alias("s"))
-    sentences = sentences.select("t", sentence_words(F.col("s")).alias("s")).where("length(s) >= 12").distinct()
-    total = distinct.agg(F.count(F.lit(1))).scalar()
-    common = sentences.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return [r[0] for r in common.where(F.col("n") > total * share).select("s").collect()]
+    sentences = F.filter(F.transform(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?;:。]) "), sentence_words), lambda s: s != "")
+    left = cut(distinct.select(sentences.alias("s")), "sentences")
+    total, known = left.count(), []
+    while True:
+        if known:
+            left = left.select(F.slice("s", 1, F.array_max(F.transform("s", lambda s, i: F.when(s.isin(known), 0).otherwise(i + 1)))).alias("s"))
+        ends = left.where("size(s) > 1").select(F.get("s", F.size("s") - 1).alias("end"), least_run(F.split(F.array_join(F.slice("s", 1, F.size("s") - 1), " "), " ")).alias("rest"))
+        groups = ends.where("length(end) >= 12").groupBy("end", "rest").agg(F.count(F.lit(1)).alias("m")).groupBy("end").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+        found = [r[0] for r in groups.where((F.col("n") > least) & (F.col("n") > total * share) & (F.col("n") * F.col("n") > least * F.col("squares"))).select("end").collect()]
+        if not found:
+            return known
+        known += found
 
 
 def bare(word: str) -> str:
@@ -58,9 +74,10 @@ def bare(word: str) -> str:
 
 
 class Statement:
-    """Takes standard instructions out of a text, also where a word of theirs was changed or the full stops are gone."""
+    """Takes standard instructions out of a text, also where a word of theirs was changed or the full stops are gone; with `end_only` none but those at its end."""
 
-    def __init__(self, known: list[str], alike: float = 0.75):
+    def __init__(self, known: list[str], alike: float = 0.75, end_only: bool = False):
+        self.end_only = end_only
         self.known = [[bare(w) for w in k.split()] for k in known]
         self.sets = [frozenset(k) for k in self.known]
         self.alike = alike
@@ -96,11 +113,13 @@ class Statement:
 
     def __call__(self, text: str) -> list[str]:
         """The words of the text's own statement."""
-        out: list[str] = []
-        for sentence in _END.split(text):
-            w = words(sentence)
-            if w and not self.is_known(w):
-                out += w
+        parts = [w for w in map(words, _END.split(text)) if w]
+        if self.end_only:
+            while parts and self.is_known(parts[-1]):
+                parts.pop()
+        else:
+            parts = [w for w in parts if not self.is_known(w)]
+        out = [x for w in parts for x in w]
         while True:  # instructions at the end of a text without full stops: the one that fits best
             fits = [(self.overlap(out[-len(k) :], i), len(k)) for i, k in enumerate(self.known) if len(out) > len(k)]
             best = max(fits, default=(0.0, 0))

@@ -48,3 +48,15 @@ def test_many_items_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(13))) for i in range(9)], "doc_id bigint, text string")
     monkeypatch.setattr(L, "ITEMS", 4)
     assert {tuple(r) for r in L.leaks(docs, items).collect()} == {(i, i) for i in range(9)}
+
+
+def test_only_instructions_at_the_end_of_different_prompts_are_left_out(spark):
+    opening = "Let n be a positive integer whose digits are all odd."
+    bodies = [" ".join(f"b{i}w{k}" for k in range(8)) + "." for i in range(4)]
+    edited = [f"{w} squares of side nine are cut from a sheet of grey paper. How many corners does the rest of that sheet of paper have?" for w in ("Seven", "Eight", "Some")]
+    items = [(i, f"{opening} {b}{END}") for i, b in enumerate(bodies)] + [(10 + i, t) for i, t in enumerate(edited)] + [(20, f"{bodies[0]} {opening} What is it?")]
+    rows, known = L.statements(spark.createDataFrame(items, "item_id bigint, prompt string"))
+    assert known == [" ".join(words(END))]
+    assert dict(rows) == {i: words(t.replace(END, "")) for i, t in items}
+    docs = spark.createDataFrame([(1, f"{opening} {bodies[2]}"), (2, edited[0]), (3, END), (4, f"{bodies[1]} {bodies[2]}")], "doc_id bigint, text string")
+    assert {tuple(r) for r in L.leaks(docs, spark.createDataFrame(items, "item_id bigint, prompt string")).collect()} == {(1, 2), (2, 10), (2, 11), (2, 12)}
