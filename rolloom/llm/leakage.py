@@ -68,9 +68,14 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [(origin[m.start()][0], origin[m.end() - 1][1]) for m in WORD.finditer("".join(shown))]
 
 
-def statements(items: DataFrame) -> tuple[list[tuple[int, list[str]]], list[str]]:
-    """The items' own words. At most ITEMS rows come here at once."""
-    known = instructions(items.select(F.col("prompt").alias("text")), share=0.0, least=2)
+def standard(items: DataFrame) -> list[str]:
+    """The standard instructions of all items."""
+    return instructions(items.select(F.col("prompt").alias("text")), share=0.0, least=2)
+
+
+def statements(items: DataFrame, known: list[str] | None = None) -> tuple[list[tuple[int, list[str]]], list[str]]:
+    """The items' own words, without the `known` instructions or else those of these items. At most ITEMS rows come here at once."""
+    known = standard(items) if known is None else known
     own = Statement(known, end_only=True)
     rows = items.where("item_id is not null and prompt is not null").select("item_id", "prompt").distinct().collect()
     return [(r[0], own(r[1]) or words(r[1])) for r in rows], known
@@ -109,12 +114,12 @@ def passages(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFram
     have no passage. The items are held by every task, so a set of more than ITEMS is scanned for in several passes over the
     documents. Passages of one item that overlap come out as one.
     """
-    count = items.count()
+    count, known = items.count(), standard(items)
     found = None
     blocks = max(1, -(-count // ITEMS))
     for i in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        one = _scan(documents, statements(part)[0], run)
+        one = _scan(documents, statements(part, known)[0], run)
         found = one if found is None else found.unionByName(one)
     return found
 

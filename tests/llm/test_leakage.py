@@ -60,3 +60,11 @@ def test_only_instructions_at_the_end_of_different_prompts_are_left_out(spark):
     assert dict(rows) == {i: words(t.replace(END, "")) for i, t in items}
     docs = spark.createDataFrame([(1, f"{opening} {bodies[2]}"), (2, edited[0]), (3, END), (4, f"{bodies[1]} {bodies[2]}")], "doc_id bigint, text string")
     assert {tuple(r) for r in L.leaks(docs, spark.createDataFrame(items, "item_id bigint, prompt string")).collect()} == {(1, 2), (2, 10), (2, 11), (2, 12)}
+
+
+def test_instructions_are_learned_over_all_blocks(spark, monkeypatch):
+    end = " Show your work in full and state the final answer on the very last line of your reply."
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(13)) + "." + end) for i in range(9)], "item_id bigint, prompt string")
+    docs = spark.createDataFrame([(1, end), (2, " ".join(f"i4w{k}" for k in range(13)))], "doc_id bigint, text string")
+    monkeypatch.setattr(L, "ITEMS", 2)
+    assert {tuple(r) for r in L.leaks(docs, items).collect()} == {(2, 4)}
