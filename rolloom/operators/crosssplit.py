@@ -29,7 +29,7 @@ SHARED, OF = 7, 10
 #: Fewer quantities than this don't identify a problem.
 FEW = 3
 BANDS, ROWS = 40, 5
-_END = re.compile(r"(?<=[.!?;:。])\s+|\n+")
+_END, _LINE = re.compile(r"(?<=[.!?;:。])\s+"), re.compile(r"\n+")
 
 
 def split_name(split: Column) -> Column:
@@ -73,13 +73,19 @@ def bare(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
+def numbers(many: list[str]) -> list[str]:
+    """The words with digits, sorted."""
+    return sorted(w for w in many if any(c.isdigit() for c in w))
+
+
 class Statement:
-    """Takes standard instructions out of a text, also where a word of theirs was changed or the full stops are gone; with `end_only` none but those at its end."""
+    """Takes standard instructions out of a text, also where a word of theirs (but no number) was changed or the full stops are gone; with `end_only` none but those at its end."""
 
     def __init__(self, known: list[str], alike: float = 0.75, end_only: bool = False):
         self.end_only = end_only
         self.known = [[bare(w) for w in k.split()] for k in known]
         self.sets = [frozenset(k) for k in self.known]
+        self.numbers = [numbers(k) for k in self.known]
         self.alike = alike
         self.index: dict[str, list[int]] = {}
         for i, k in enumerate(self.sets):
@@ -88,8 +94,11 @@ class Statement:
         self.cache: dict[str, bool] = {}
 
     def overlap(self, w: list[str], i: int) -> float:
-        """Shared words of `w` and the i-th instruction over all words of both."""
-        s = frozenset(map(bare, w))
+        """Shared words of `w` and the i-th instruction over all words of both; 0 where their numbers differ."""
+        w = [bare(x) for x in w]
+        if numbers(w) != self.numbers[i]:
+            return 0.0
+        s = frozenset(w)
         n = len(s & self.sets[i])
         return n / (len(s) + len(self.sets[i]) - n)
 
@@ -105,7 +114,8 @@ class Statement:
             for x in s:
                 for i in self.index.get(x, ()):
                     shared[i] = shared.get(i, 0) + 1
-            hit = any(n >= self.alike * (len(s) + len(self.sets[i]) - n) for i, n in shared.items())
+            own = numbers(w)
+            hit = any(n >= self.alike * (len(s) + len(self.sets[i]) - n) and own == self.numbers[i] for i, n in shared.items())
             if len(self.cache) > 50_000:
                 self.cache.clear()
             self.cache[key] = hit
@@ -113,7 +123,12 @@ class Statement:
 
     def __call__(self, text: str) -> list[str]:
         """The words of the text's own statement."""
-        parts = [w for w in map(words, _END.split(text)) if w]
+        parts: list[list[str]] = []
+        for sentence in _END.split(text):
+            # line ends stand inside of sentences, or part those without a full stop
+            w = words(sentence)
+            parts += [w] if self.is_known(w) else map(words, _LINE.split(sentence))
+        parts = [w for w in parts if w]
         if self.end_only:
             while parts and self.is_known(parts[-1]):
                 parts.pop()
@@ -145,9 +160,9 @@ def describe(rows: DataFrame, known: list[str]) -> DataFrame:
                 if not w:
                     continue
                 tokens = occurrences(hasher(w))
-                numbers = [x for x in w if any(c.isdigit() for c in x)]
-                few = len(numbers) < FEW
-                quantities = set_key(occurrences(hasher(numbers)))
+                amounts = numbers(w)
+                few = len(amounts) < FEW
+                quantities = set_key(occurrences(hasher(amounts)))
                 for col, x in zip(out, (rec, side, ref, set_key(tokens), few, quantities, minhash(tokens) if few else np.zeros(0, np.int64), tokens.view(np.int64))):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=["rec_id", "side", "ref", "text_key", "few", "quantities", "bands", "tokens"])

@@ -108,6 +108,17 @@ def test_overlaps(spark):
     assert crosssplit.overlap_pairs(df.where("false")).collect() == []
 
 
+def test_overlaps_of_a_hot_group(spark):
+    hot = "A chain with {} links hangs from hook {}, and {} of its rings are painted {}. Every ring of the chain weighs {} grams. How many grams does the painted part of that chain weigh?"
+    colours = "red green blue white black grey brown pink gold teal".split()
+    rows = [(i, hot.format(12, 34, 56, c, 78), "9", "train" if i < 5 else "test") for i, c in enumerate(colours)]
+    rows += [(20 + i, hot.format(12, 34, 56, c, 79), None, "test") for i, c in enumerate(colours)]  # the sentence with the weight differs in its number only
+    rows += [(40, hot.format(12, 34, 56, "red", 78).replace("Every ring of the chain weighs", "Rings on the chain do all weigh"), "9", "test")]  # one sentence written anew
+    rows += [(100 + i, f"Tower {w}{w} holds {w}a stones {i * 7 + 11} and {w}b stones {i * 3 + 500} above {i + 9000}. Which one falls?", str(i), "train") for i, w in enumerate("abcdefghijklmnopqrst")]
+    df = spark.createDataFrame(rows, "problem_id bigint, prompt string, reference string, split string").selectExpr("*", "'s' as source")
+    assert pairs(crosssplit.overlap_pairs(df)) == {(a, b) for a in range(5) for b in [*range(5, 10), 40]}
+
+
 def test_ledger_by_batches_is_the_same_as_at_once(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("abcdefgh") if rng.random() < 0.6 else "hot") for i in range(500)] + [(600, None)]
