@@ -1,7 +1,7 @@
 """Problems that stand in the training split and in another one, exactly or almost.
 
 Each prompt is reduced to canonical hashes after case, punctuation and whitespace normalisation: one of all its words, and one of its
-quantities (the words with digits, as a multiset, without those of standard instructions). Two prompts that state the same problem have
+quantities (the numbers in canonical writing, as a multiset, without those of standard instructions). Two prompts that state the same problem have
 the same quantities, so joining the hashes of evaluation prompts with those of training prompts meets every such pair;
 the wording is then compared word for word. Prompts with fewer than three quantities are joined on band keys of their words instead.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.canon import canonical_answer, fold, let, no_answer
-from rolloom.functions.words import Hasher, MinHash, occurrences, set_key, words
+from rolloom.functions.words import Hasher, MinHash, occurrences, plain, set_key, words
 from rolloom.operators.skew import pairs_in_blocks
 from rolloom.session import cut
 
@@ -73,6 +73,19 @@ def bare(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
+#: Digit groups of three, parted by a comma, apostrophe, underscore, blank or LaTeX's {,} and \\, ; not the components of a bracketed list.
+_GROUPS = re.compile(r"(?<![\w.,(\[{])(?<!\d[ '’])([1-9]\d{0,2})((?:\{,\}|\\,|[,'’_ ])\d{3})+(?!\w)(?![,'’ ]\d{3}(?!\d))(?![)\]}])")
+_BETWEEN = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)")
+
+
+def canonical_numbers(text: str) -> str:
+    """The text after NFKC and in lower case, with one writing for all writings of a number: digit groups joined, digits parted from letters (10cm, x1, x²)."""
+    text = plain(text)
+    if not text.isascii():
+        text = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+    return _BETWEEN.sub(" ", _GROUPS.sub(lambda m: "".join(c for c in m[0] if c.isdigit()), text))
+
+
 def numbers(many: list[str]) -> list[str]:
     """The words with digits, sorted."""
     return sorted(w for w in many if any(c.isdigit() for c in w))
@@ -151,11 +164,12 @@ def describe(rows: DataFrame, known: list[str]) -> DataFrame:
     """Hashes of each row (rec_id, side, ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, minhash, own = Hasher(), MinHash(BANDS, ROWS), Statement(known)
+        hasher, minhash, own = Hasher(), MinHash(BANDS, ROWS), Statement([canonical_numbers(k) for k in known])
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             out: list[list] = [[] for _ in types]
             for rec, side, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
+                text = canonical_numbers(text)
                 w = own(text) or words(text)
                 if not w:
                     continue

@@ -119,6 +119,19 @@ def test_overlaps_of_a_hot_group(spark):
     assert pairs(crosssplit.overlap_pairs(df)) == {(a, b) for a in range(5) for b in [*range(5, 10), 40]}
 
 
+def test_overlaps_in_other_number_writings(spark):
+    text = "A road of 1000 metres has {} posts of 10 cm each, and x_1 + x_2 = 2500000 with x^2 below 7. How many posts does the road have in all its parts?"
+    other = text.replace("1000", "1,000").replace("10 cm", "10cm").replace("x_1", "x1").replace("x_2", "x₂").replace("2500000", "2 500 000").replace("x^2", "x²")
+    rows = [(1, text.format(77), "train"), (2, other.format(77), "test"), (3, other.format(78), "test"), (4, text.format("(100,200)"), "train"), (5, other.format("(100, 200)"), "test"), (6, other.format("100 200"), "test")]
+    df = spark.createDataFrame(rows, "problem_id bigint, prompt string, split string").selectExpr("*", "'5' as reference", "'s' as source")
+    assert pairs(crosssplit.overlap_pairs(df)) == {(1, 2), (4, 5)}
+
+
+@pytest.mark.parametrize("text,want", [("1,000", "1000"), ("1 234 567 of", "1234567 of"), ("1{,}000; 1'000", "1000; 1000"), ("12,34", "12,34"), ("0.586,100", "0.586,100"), ("10cm x² ٣", "10 cm x 2 3"), ("[1,234]", "[1,234]"), ("1,0000", "1,0000")])
+def test_canonical_numbers(text, want):
+    assert crosssplit.canonical_numbers(text) == want
+
+
 def test_ledger_by_batches_is_the_same_as_at_once(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("abcdefgh") if rng.random() < 0.6 else "hot") for i in range(500)] + [(600, None)]
