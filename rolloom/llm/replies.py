@@ -153,7 +153,12 @@ def shared(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n:
     return part(ga, oa, gb), part(gb, ob, ga)
 
 
-_SLIM = "tbl string, rec_id bigint, source string, chars int, bytes int, ending bigint, short_ending bigint, broken boolean, stop boolean, left_open boolean, of_problem float, of_reply float, tokens int"
+def text_key(text: str | None) -> int | None:
+    """64-bit key of a text, white space at its end aside."""
+    return None if text is None else xxhash.xxh3_64_intdigest(text.rstrip().encode("utf-8", "replace")) - (1 << 63)
+
+
+_SLIM = "tbl string, rec_id bigint, source string, text_key bigint, chars int, bytes int, ending bigint, short_ending bigint, broken boolean, stop boolean, left_open boolean, of_problem float, of_reply float, tokens int"
 
 
 def slim(replies: DataFrame) -> DataFrame:
@@ -174,8 +179,8 @@ def slim(replies: DataFrame) -> DataFrame:
                 ending = [int(last[e - 1]) if k else 0 for e, k in zip(starts[1:], n)]
                 short = [int(last_two[e - 1]) if k else 0 for e, k in zip(starts[1:], n)]
                 marks = [ending_marks(t.rstrip()) if t else (False, False, False) for t in texts]
-                columns = [tbl, rec, source, [None if t is None else len(t) for t in texts], [None if t is None else len(t.encode("utf-8", "replace")) for t in texts], ending, short, *map(list, zip(*marks)), problem_in.astype(np.float32), reply_in.astype(np.float32), n.astype(np.int32)]
-                types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float32(), pa.float32(), pa.int32()]
+                columns = [tbl, rec, source, list(map(text_key, texts)), [None if t is None else len(t) for t in texts], [None if t is None else len(t.encode("utf-8", "replace")) for t in texts], ending, short, *map(list, zip(*marks)), problem_in.astype(np.float32), reply_in.astype(np.float32), n.astype(np.int32)]
+                types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float32(), pa.float32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[f.split()[0] for f in _SLIM.split(", ")])
 
     return replies.select("tbl", "rec_id", "source", "problem", "answer", "text").mapInArrow(run, _SLIM)
@@ -183,18 +188,18 @@ def slim(replies: DataFrame) -> DataFrame:
 
 #: Characters that surely hold the last tokens of a text, but for very long ones.
 TAIL = 400
-_ENDS = "tbl string, rec_id bigint, tokens int, ending bigint, short_ending bigint"
+_ENDS = "text_key bigint, tokens int, ending bigint, short_ending bigint"
 
 
 def endings(replies: DataFrame) -> DataFrame:
-    """(tbl, rec_id, tokens, ending, short_ending): of the slim rows what `known_endings` needs. Only the last tokens of each text are formed; tokens counts no more than those."""
+    """(text_key, tokens, ending, short_ending): of the slim rows what `known_endings` needs. Only the last tokens of each text are formed; tokens counts no more than those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                tbl, rec, texts = (c.to_pylist() for c in batch.columns)
+                texts = batch.column(0).to_pylist()
                 tails = [t and t.rstrip()[-TAIL:] for t in texts]
                 numbers, starts = reader.numbers(tails)
                 short = [i for i, n in enumerate(np.diff(starts)) if n < 8 and texts[i] and len(texts[i]) > TAIL]
@@ -206,18 +211,19 @@ def endings(replies: DataFrame) -> DataFrame:
                 n = np.diff(starts)
                 end = np.maximum(starts[1:] - 1, 0)
                 pick = lambda x: np.where(n > 0, x[end] if len(x) else 0, 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tbl, type=pa.string()), pa.array(rec, type=pa.int64()), pa.array(n.astype(np.int32)), pa.array(pick(last)), pa.array(pick(last_two))], names=[f.split()[0] for f in _ENDS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(map(text_key, texts), type=pa.int64()), pa.array(n.astype(np.int32)), pa.array(pick(last)), pa.array(pick(last_two))], names=[f.split()[0] for f in _ENDS.split(", ")])
 
-    return replies.select("tbl", "rec_id", "text").mapInArrow(run, _ENDS)
+    return replies.select("text").mapInArrow(run, _ENDS)
 
 
 def known_endings(replies: DataFrame, slims: DataFrame) -> dict[int, float]:
     """How likely a reply that stands at each known ending is complete: of all places where its tokens stand, the share at the end of a reply.
 
     A reply cut at a random place ends in tokens that mostly stand inside of replies; endings that writers choose seldom do. Endings are the last
-    three tokens, or the last two. Known ones close at least SHARE of the replies, so there are at most 2 / SHARE of them. All replies are counted, redelivered ones once for the endings.
+    three tokens, or the last two. Known ones close at least SHARE of the replies, so there are at most 2 / SHARE of them. Each text counts once, at its end and
+    inside, however many rows hold it: copies of a cut reply don't make its end a proper one.
     """
-    once = slims.where("tokens >= 3").select("tbl", "rec_id", F.explode(F.array("ending", "short_ending")).alias("ending")).distinct()
+    once = slims.where("tokens >= 3").select("text_key", F.explode(F.array("ending", "short_ending")).alias("ending")).distinct()
     total = once.agg(F.count(F.lit(1)) / 2).scalar()
     ends = {r[0]: r[1] for r in once.groupBy("ending").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).where(F.col("n") >= total * SHARE).select("ending", "n").collect()}
     if not ends:
@@ -225,24 +231,41 @@ def known_endings(replies: DataFrame, slims: DataFrame) -> dict[int, float]:
     wanted = np.array(sorted(ends), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = Reader(), np.zeros(len(wanted), dtype=np.int64)
+        reader = Reader()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                h, starts = reader.read(whole.slice(at, 1000).column(0).to_pylist())
+                texts = list({text_key(t): t for t in whole.slice(at, 1000).column(0).to_pylist() if t}.items())
+                h, starts = reader.read([t for _, t in texts])
                 if not len(h):
                     continue
                 inside = np.ones(len(h), dtype=bool)
                 inside[starts[1:][np.diff(starts) > 0] - 1] = False
+                owners, places = [], []
                 for n in (2, 3):
                     head = starts[:-1] + n - 2  # here the n tokens would begin in the text before
                     inside[head[head < len(h)]] = False
                     with np.errstate(over="ignore"):
-                        g = grams(h, n).view(np.int64)[inside]
+                        g = grams(h, n).view(np.int64)
                     place = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-                    counts += np.bincount(place[wanted[place] == g], minlength=len(wanted))
+                    hit = np.flatnonzero(inside & (wanted[place] == g))
+                    owners.append(np.searchsorted(starts, hit, side="right") - 1)
+                    places.append(place[hit])
+                owner, place = np.concatenate(owners), np.concatenate(places).astype(np.int16)
+                order = np.lexsort((place, owner))
+                bounds = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+                place = place[order]
+                some = np.flatnonzero(np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array([texts[i][0] for i in some], type=pa.int64()), pa.array([place[bounds[i] : bounds[i + 1]].tobytes() for i in some], type=pa.binary())], names=["text_key", "places"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(wanted), dtype=np.int64)
+        for batch in batches:
+            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int16), minlength=len(wanted))
         yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(counts)], names=["ending", "n"])
 
-    inside = {r[0]: r[1] for r in replies.select("text").mapInArrow(run, "ending bigint, n bigint").groupBy("ending").agg(F.sum("n").alias("n")).collect()}
+    # each text's places inside are few bytes: these are shuffled, not the texts
+    texts = replies.select("text").mapInArrow(run, "text_key bigint, places binary").distinct()
+    inside = {r[0]: r[1] for r in texts.select("places").mapInArrow(add, "ending bigint, n bigint").groupBy("ending").agg(F.sum("n").alias("n")).collect()}
     return {e: n / (n + inside.get(e, 0)) for e, n in ends.items()}
 
 

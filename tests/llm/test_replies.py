@@ -107,3 +107,14 @@ def test_reader_past_its_cap():
     small.read_again(problems[:2]), small.read([f"text{chr(97 + i)}" for i in range(20)])
     for a, b in zip(small.read_again([*problems, None]), large.read_again([*problems, None])):
         assert a.tolist() == b.tolist()
+
+
+def test_copies_of_a_cut_reply_dont_certify_its_end(spark):
+    rng = random.Random(2)
+    rows = [("results", i, "m", problem(rng), "5", reply(rng)) for i in range(300)]
+    cut = "Then the matrix covers every lattice of size 71, so that this is the kernel for it. We turn to the remaining module whose outer"
+    rows += [("results", 1000 + i, "m", problem(rng), "5", cut + " " * (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, source string, problem string, answer string, text string")
+    assert {r.rec_id for r in C.cut_replies(df).collect()} >= set(range(1000, 1040))
+    ends = L.endings(df)
+    assert L.known_endings(df, ends) == L.known_endings(df, L.slim(df)) == L.known_endings(df.union(df), L.slim(df.union(df)))
