@@ -134,7 +134,7 @@ class Featurer:
         three, two = three.view(np.int64), two.view(np.int64)
         for i in np.flatnonzero(size > 0):
             known[i] = max(self.known.get(int(three[ends[i]]), 0.0) if size[i] >= 3 else 0.0, self.known.get(int(two[ends[i]]), 0.0) if size[i] >= 2 else 0.0)
-        closed = (known >= PROPER) | (marks[:, 1] > 0)
+        closed = ((known >= PROPER) | (marks[:, 1] > 0)) & (marks[:, 2] == 0)
         dense = np.zeros((n, self.DENSE))
         repeats = (in_problem >= 0.8) & (in_reply >= 0.85)
         for j, x in enumerate(
@@ -243,10 +243,12 @@ class Classifier:
         return np.stack([np.bincount(rows, weights=values * self.wide[columns, j], minlength=n) for j in range(len(LABELS))], axis=1) + dense @ self.dense
 
     def margins(self, featurer: Featurer, problems: list, answers: list, texts: list) -> np.ndarray:
-        """Scores above the thresholds. A reply that ends properly isn't truncated, whatever its n-grams say."""
+        """Scores above the thresholds. A reply that ends properly isn't truncated, and one with an open block or formula is, whatever their n-grams say; one that repeats its problem aside."""
         rows, columns, values, dense = featurer(problems, answers, texts)
         out = self._linear(rows, columns, values, dense, len(texts)) - self.threshold
         out[(dense[:, 5] == 0) & (dense[:, 2] == 0), 0] = -np.inf
+        opened = (dense[:, 4] > 0) & (dense[:, 10] == 0)
+        out[opened, 0] = np.maximum(out[opened, 0], 1e-6)
         return out
 
 

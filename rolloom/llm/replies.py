@@ -120,6 +120,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 _OPEN = re.compile(r"\.\.\.$|[…�]$")
 _STOP = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
+_PRICE = re.compile(r"\$\d[\d.,]*(?=[\s;:!?)]|$)")
 _DECIMAL = re.compile(r"(?<![\d.,])[-−]?0\.$|[,.]\d{0,2},$")
 
 
@@ -128,10 +129,23 @@ def ending_marks(text: str) -> tuple[bool, bool, bool]:
     tail = text[-40:]
     broken = bool(_OPEN.search(tail))
     stop = not broken and bool(_STOP.search(tail)) and not _DECIMAL.search(tail)
-    left = text.count("$") % 2 == 1 or text.count("```") % 2 == 1 or text.count("{") > text.count("}") or text.count("\\[") > text.count("\\]") or text.count("\\(") > text.count("\\)")
+    more = lambda a, b: text.count(a) > text.count(b)
+    left = _open_dollar(text) or text.count("```") % 2 == 1 or more("{", "}") and not _one_sided(text) or more("\\[", "\\]") or more("\\(", "\\)")
     return broken, stop, left
 
 
+def _open_dollar(text: str) -> bool:
+    """A formula in dollar signs left open: their number is odd, escaped ones aside, and no single price makes it so."""
+    if text.count("$") % 2 == text.count("\\$") % 2:
+        return False
+    return not len(_PRICE.findall(text.replace("\\$", ""))) % 2
+
+
+def _one_sided(text: str) -> bool:
+    """Nothing but braces that \\right. closes is open."""
+    return "\\right." in text and text.count("{") - text.count("\\{") <= text.count("}") - text.count("\\}")
+
+
 def shared(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of texts: share of the first's n-grams that the second has, and the reverse. 0 without n-grams."""
 

@@ -118,3 +118,18 @@ def test_copies_of_a_cut_reply_dont_certify_its_end(spark):
     assert {r.rec_id for r in C.cut_replies(df).collect()} >= set(range(1000, 1040))
     ends = L.endings(df)
     assert L.known_endings(df, ends) == L.known_endings(df, L.slim(df)) == L.known_endings(df.union(df), L.slim(df.union(df)))
+
+
+@pytest.mark.parametrize("text,left", [("It costs $5.", False), ("Pay \\$5 for $x$ and $y.", True), ("Hence $x = 3.", True), (r"\left\{ \begin{array}{l} 1 \end{array} \right. done.", False), (r"the set \{1, 2.", True), ("$5 + x$ holds.", False)])
+def test_left_open(text, left):
+    assert L.ending_marks(text)[2] == left
+
+
+def test_cut_in_an_open_block_behind_a_stop(spark):
+    rng = random.Random(8)
+    rows = [("results", i, "m", problem(rng), "5", reply(rng)) for i in range(500)]
+    opened = [" Now we have \\[ a = 3.", " Hence the value $x = 3.", "\n```\nprint(x) # done.", " So take \\boxed{the kernel."]
+    rows += [("results", 1000 + i, "m", problem(rng), "5", reply(rng) + opened[i % 4]) for i in range(12)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, source string, problem string, answer string, text string")
+    assert {r.rec_id for r in C.cut_replies(df).collect()} == set(range(1000, 1012))
+    assert {r.rec_id for r in P.faulty_pairs(df, 400).where("defect = 'truncated'").collect()} == set(range(1000, 1012))
