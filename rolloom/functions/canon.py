@@ -124,7 +124,8 @@ PLACEHOLDERS = ["none", "null", "nan", "na", "n/a", "nil", "unknown", "tbd", "to
 
 def no_answer(value: Column) -> Column:
     """True for null, blank, marks only (an empty box too), and placeholders without content."""
-    short = F.when(F.length(value) <= 80, value)  # longer texts aren't folded at all
+    # texts of more letters and digits aren't folded at all; padding and rows of marks of any length don't count
+    short = F.when((F.length(value) <= 80) | ~value.rlike(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){81}"), value)
     plain = F.regexp_replace(_strip_marks(fold(short)), r"[^\p{L}\p{N}/]+", "")
     nothing = plain.isin("", "/", *PLACEHOLDERS) | plain.rlike("^no(answer|output|response|reply|result|content|text|data|value)(found|extracted|given|available|provided)?$")
     return value.isNull() | F.coalesce(nothing, F.lit(False))

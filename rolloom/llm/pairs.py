@@ -62,6 +62,11 @@ APOLOGIES = ["Sorry, the earlier count was off; redoing it. ", "I am not able to
 OPENINGS = ["", "", "Sure, here is my solution.\n", "Okay, let me think about this first.\n\n", "Solution. "]
 
 
+def may_copy(answer: str | None, problem: str | None) -> bool:
+    """An answer much shorter than the problem can't repeat it."""
+    return bool(answer and problem) and len(answer) >= min(40, len(problem.strip()) // 2)
+
+
 class Featurer:
     """Features of pairs (problem, answer, reply); `known` are the known endings."""
 
@@ -109,8 +114,8 @@ class Featurer:
         n = len(texts)
         h, at = self.reader.read(texts)
         p, p_at = self.reader.read_again(problems)
-        # an answer of a few tokens can't repeat a problem, and one that is the reply itself has been looked at
-        a, a_at = self.reader.read([x if x and len(x) >= 40 and x != t else None for x, t in zip(answers, texts)])
+        # an answer that is the reply itself has been looked at
+        a, a_at = self.reader.read([x if may_copy(x, q) and x != t else None for x, q, t in zip(answers, problems, texts)])
         with np.errstate(over="ignore"):
             in_problem, in_reply = shared(h, at, p, p_at)
             answer_in, problem_in = shared(a, a_at, p, p_at)
@@ -290,7 +295,7 @@ def faulty_pairs(replies: DataFrame, most: int = SAMPLE) -> DataFrame:
                 defect = []
                 for i, j in enumerate(best):
                     if empty_text[i]:  # only the answer may still repeat the problem
-                        defect.append("copied" if margin[i, 2] > 0 and answers[i] and len(answers[i]) > 40 else "empty")
+                        defect.append("copied" if margin[i, 2] > 0 and not empty_answer[i] and may_copy(answers[i], problems[i]) else "empty")
                     else:
                         defect.append(LABELS[j] if margin[i, j] > 0 else "empty" if empty_answer[i] else None)
                 keep = [i for i, d in enumerate(defect) if d]

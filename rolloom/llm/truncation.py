@@ -36,9 +36,8 @@ def cut_replies(replies: DataFrame) -> DataFrame:
     some = some.where(~repeats).join(at_spike.withColumn("spike", F.lit(True)), ["tbl", "rec_id"], "left")
     done = F.col("stop") | F.when(F.col("spike"), proper_end(known, PROPER_AT_SPIKE)).otherwise(proper_end(known, PROPER))
     found = some.where(F.col("broken") | F.col("left_open") | ~done).select("tbl", "rec_id", "tokens").distinct()
-    # placeholders are a few tokens long: only short texts are looked at again
-    short = replies.where(F.length("text") <= 60).where(no_answer(F.col("text"))).select("tbl", "rec_id").distinct()
-    return found.join(short, ["tbl", "rec_id"], "left_anti").select("tbl", "rec_id")
+    blank = replies.where(F.col("text").isNotNull() & no_answer(F.col("text"))).select("tbl", "rec_id").distinct()
+    return found.join(blank, ["tbl", "rec_id"], "left_anti").select("tbl", "rec_id")
 
 
 def cut_share(replies: DataFrame) -> DataFrame:

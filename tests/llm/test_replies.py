@@ -133,3 +133,15 @@ def test_cut_in_an_open_block_behind_a_stop(spark):
     df = spark.createDataFrame(rows, "tbl string, rec_id bigint, source string, problem string, answer string, text string")
     assert {r.rec_id for r in C.cut_replies(df).collect()} == set(range(1000, 1012))
     assert {r.rec_id for r in P.faulty_pairs(df, 400).where("defect = 'truncated'").collect()} == set(range(1000, 1012))
+
+
+def test_long_blanks_and_short_problems(spark):
+    rng = random.Random(3)
+    rows = [("results", i, "m", problem(rng), str(i), reply(rng)) for i in range(400)]
+    rows += [("results", 1000, "m", problem(rng), "5", "-" * 300), ("results", 1001, "m", problem(rng), "5", "N/A" + " " * 200), ("results", 1002, "m", problem(rng), " " * 100, reply(rng)), ("results", 1003, "m", problem(rng), "5", "N/A " + "-" * 100)]
+    rows += [("results", 2000 + i, "m", f"What is the rank of {w}?", f"What is the rank of {w}?", reply(rng)) for i, w in enumerate(NOUNS)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, source string, problem string, answer string, text string")
+    assert not {r.rec_id for r in C.cut_replies(df).collect()} & set(range(1000, 1004))
+    got = {r.rec_id: r.defect for r in P.faulty_pairs(df, 400).collect()}
+    assert {i: got.get(i) for i in range(1000, 1004)} == dict.fromkeys(range(1000, 1004), "empty")
+    assert {got.get(2000 + i) for i in range(len(NOUNS))} == {"copied"}

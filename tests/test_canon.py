@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rolloom.functions.canon import canonical_answer, canonical_text, no_answer
@@ -40,3 +41,8 @@ def test_texts(spark):
         spark.createDataFrame([(v,) for v in ("Let $x_1$ = 1,234 and 5/7.", "LET \\(X_1\\) =\t1234\nand 5 / 7", "Let x1 = 1234 and 57")], "v string").select(canonical_text(F.regexp_replace("v", " / ", "/"))).collect()
     )
     assert a[0] == b[0] != c[0]
+
+
+@pytest.mark.parametrize("value,want", [(" " * 500, True), ("\n" * 90, True), ("-" * 4000, True), ("N/A" + " \t" * 300, True), ("." * 100 + "none" + "." * 100, True), ("- 5 " + "-" * 200, False), ("word and " * 20, False), ("x" * 81, False)])
+def test_no_answer_of_any_length(spark, value, want):
+    assert spark.createDataFrame([(value,)], "v string").select(no_answer(F.col("v"))).head()[0] == want
