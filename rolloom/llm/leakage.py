@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.words import INVISIBLE, WORD, words
-from rolloom.operators.crosssplit import Statement, instructions
+from rolloom.llm.crosssplit import Statement, instructions
 
 #: Words in a row that make a passage.
 RUN = 12
