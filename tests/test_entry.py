@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from rolloom.plans import reference
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -40,7 +41,7 @@ def test_against_sql(spark, duck, name):
     assert as_set(df.columns, df.collect()) == as_set(other.columns, other.fetchall())
 
 
-CORE = [n for n in sorted(entry.queries()) if n not in entry.oracle_sql() and not n.startswith(("p2_", "p4_", "p6_", "p7_", "p8_"))]
+CORE = sorted(set(reference.QUERIES) - set(entry.oracle_sql()))
 
 
 @pytest.mark.parametrize("name", CORE)
