@@ -14,6 +14,10 @@ def test_lookup_and_blocks_with_a_hot_key(spark):
     table = rows.groupBy("k").count().withColumnRenamed("count", "_n").selectExpr("k", "_n", "k * 2 as v")
     got = skew.lookup(rows, "k", table, "_n").collect()
     assert len(got) == 6000 and all(r.v == 2 * r.k for r in got)
+    some = rows.unionByName(spark.createDataFrame([(-1, None), (-2, 7_000_000)], "i int, k int"))
+    kept = skew.lookup(some, "k", table, "_n", "left").collect()
+    assert len(kept) == 6002 and sorted(r.i for r in kept if r.v is None) == [-2, -1]
+    assert skew.lookup(some, "k", table, "_n").count() == 6000 and skew.lookup(rows.where("false"), "k", table, "_n").count() == 0
     left, right = rows.selectExpr("k", "i as a"), rows.where("i < 300").selectExpr("k", "i as b")
     assert skew.pairs_in_blocks(left, right, "k", per=100).count() == left.join(right, "k").count()
 
