@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.canon import no_answer
 from rolloom.functions.words import MIX
-from rolloom.llm.replies import Reader, ending_marks, endings, grams, known_endings, shared
-from rolloom.llm.truncation import PROPER
+from rolloom.llm.replies import Among, Reader, Replies, ending_marks, grams, known_endings, of, shared, slim, sources
+from rolloom.llm.truncation import COPIED, PROPER, WHOLE
 from rolloom.operators.sample import smallest
 from rolloom.session import cut
 
@@ -28,6 +28,8 @@ from rolloom.session import cut
 SAMPLE = 1500
 #: Hashed n-gram features.
 WIDTH = 1 << 15
+#: Weight of the last tokens' features.
+END_WEIGHT = 0.4
 LABELS = ("truncated", "refusal", "copied", "other_language")
 
 # Frequent words by which languages are told.
@@ -67,6 +69,49 @@ def may_copy(answer: str | None, problem: str | None) -> bool:
     return bool(answer and problem) and len(answer) >= min(40, len(problem.strip()) // 2)
 
 
+class Features:
+    """Features of pairs: for each token of the replies the columns of its n-grams, and the dense matrix. A row's n-gram features are scaled by the reply's length, those of its end aren't."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, two: np.ndarray, dense: np.ndarray):
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(size)), size)
+        self.n, self.at, self.dense = len(size), at, dense
+        self.scale = (1.0 / np.sqrt(np.maximum(size, 1))).astype(np.float32)
+        self.one, self.two = self._column(h), self._column(two)
+        self.two[at[:-1][size > 0]] = WIDTH  # no bigram ends at a first token
+        ends = np.flatnonzero(at[1:][owner] - np.arange(len(h)) <= 6)
+        with np.errstate(over="ignore"):
+            self.end = self._column(h[ends] * MIX)
+        self.end_at = np.searchsorted(owner[ends], np.arange(self.n + 1))
+
+    @staticmethod
+    def _column(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(17)) & np.uint64(WIDTH - 1)).astype(np.int32)
+
+    def linear(self, wide: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Scores of each label; `wide` has a row for each label, with a last column of zeros."""
+        out = self.dense @ dense
+        for j, w in enumerate(wide):
+            out[:, j] += self.scale * _sums(w[self.one] + w[self.two], self.at) + END_WEIGHT * _sums(w[self.end], self.end_at)
+        return out
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and values of the n-gram features."""
+        owner, of_end = np.repeat(np.arange(self.n), np.diff(self.at)), np.repeat(np.arange(self.n), np.diff(self.end_at))
+        real = self.two < WIDTH
+        values = np.concatenate([self.scale[owner], self.scale[owner[real]], np.full(len(of_end), END_WEIGHT, dtype=np.float32)])
+        return np.concatenate([owner, owner[real], of_end]), np.concatenate([self.one, self.two[real], self.end]), values
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the values from each place of `at` to the next."""
+    out = np.zeros(len(at) - 1, dtype=np.float32)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values, at[some])
+    return out
+
+
 class Featurer:
     """Features of pairs (problem, answer, reply); `known` are the known endings."""
 
@@ -75,25 +120,24 @@ class Featurer:
     def __init__(self, known: dict[int, float]):
         self.reader = Reader()
         self.known = known
-        self.tongues: dict[int, int] = {}
+        tongues: dict[int, int] = {}
         for j, lang in enumerate(FREQUENT):
             for w in FREQUENT[lang]:
                 h = xxhash.xxh64_intdigest(w)
-                self.tongues[h] = self.tongues.get(h, 0) | (1 << j)
-        self.speech = np.array(sorted(self.tongues), dtype=np.uint64)
-        self.bits = np.array([self.tongues[int(h)] for h in self.speech], dtype=np.int64)
+                tongues[h] = tongues.get(h, 0) | (1 << j)
+        self.speech = Among(np.array(list(tongues), dtype=np.uint64))
+        self.bits = np.array([tongues[int(h)] for h in self.speech.values], dtype=np.int64)
         #: Hits of each language by the bits of a word.
         self.hits = ((np.arange(1 << len(FREQUENT))[:, None] >> np.arange(len(FREQUENT))) & 1).astype(float)
+        self.spoken: dict[str, np.ndarray] = {}
 
     def tongue(self, h: np.ndarray, at: np.ndarray, texts: list[str | None]) -> np.ndarray:
         """For each text the share of each language among its hits; zeros where there are too few."""
-        place = np.minimum(np.searchsorted(self.speech, h), len(self.speech) - 1)
-        hit = np.flatnonzero(self.speech[place] == h)
-        owner = np.repeat(np.arange(len(texts)), np.diff(at))[hit]
+        hit, place = self.speech(h)
+        owner = np.searchsorted(at, hit, side="right") - 1
+        kinds = len(self.hits)
         out = np.zeros((len(texts), len(TONGUES)))
-        which = self.bits[place[hit]]
-        for j in range(len(FREQUENT)):
-            out[:, j] = np.bincount(owner, weights=self.hits[which, j], minlength=len(texts))
+        out[:, : len(FREQUENT)] = np.bincount(owner * kinds + self.bits[place], minlength=len(texts) * kinds).reshape(len(texts), kinds) @ self.hits
         for i, t in enumerate(texts):
             if t and not t.isascii():
                 codes = np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -109,39 +153,40 @@ class Featurer:
         best = out == out.max(axis=1, keepdims=True)
         return np.where((total >= 3) & best, 1.0, 0.0) * np.where(total > 0, out / np.maximum(total, 1), 0)
 
-    def __call__(self, problems: list[str | None], answers: list[str | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, columns and values of the n-gram features, and the dense matrix."""
+    def of_problems(self, problems: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Runs of four tokens of each problem, and its language; both are kept for problems that come again."""
+        parts = self.reader.read_again(problems)
+        if len(self.spoken) > self.reader.texts:
+            self.spoken.clear()
+        fresh = {t: h for t, (h, _) in zip(problems, parts) if t and t not in self.spoken}
+        if fresh:
+            at = np.cumsum([0, *map(len, fresh.values())])
+            self.spoken.update(zip(fresh, self.tongue(np.concatenate([*fresh.values(), np.zeros(0, np.uint64)]), at, list(fresh))))
+        none = np.zeros(len(TONGUES))
+        return [g for _, g in parts], np.array([self.spoken[t] if t else none for t in problems]).reshape(len(problems), len(TONGUES))
+
+    def __call__(self, problems: list[str | None], answers: list[str | None], texts: list[str | None]) -> Features:
         n = len(texts)
         h, at = self.reader.read(texts)
-        p, p_at = self.reader.read_again(problems)
+        runs, tp = self.of_problems(problems)
+        in_problem, in_reply = shared(h, at, runs)
         # an answer that is the reply itself has been looked at
-        a, a_at = self.reader.read([x if may_copy(x, q) and x != t else None for x, q, t in zip(answers, problems, texts)])
+        asked = [x if x != t and may_copy(x, q) else None for x, q, t in zip(answers, problems, texts)]
+        answer_in, problem_in = shared(*self.reader.read(asked), runs) if any(asked) else (np.zeros(n), np.zeros(n))
         with np.errstate(over="ignore"):
-            in_problem, in_reply = shared(h, at, p, p_at)
-            answer_in, problem_in = shared(a, a_at, p, p_at)
             two, three = grams(h, 2), grams(h, 3)
         size = np.diff(at)
-        owner = np.repeat(np.arange(n), size)
-        inner = np.arange(len(h)) - at[:-1][owner]
-        tail = at[1:][owner] - np.arange(len(h)) <= 6
-        with np.errstate(over="ignore"):
-            columns = np.concatenate([h, two[inner >= 1], (h * MIX)[tail]]) >> np.uint64(17)
-        rows = np.concatenate([owner, owner[inner >= 1], owner[tail]])
-        scale = 1.0 / np.sqrt(np.maximum(size, 1))
-        values = np.concatenate([scale[owner], scale[owner][inner >= 1], np.full(int(tail.sum()), 0.4)])
-        columns = (columns % np.uint64(WIDTH)).astype(np.int64)
-
-        tr, tp = self.tongue(h, at, texts), self.tongue(p, p_at, problems)
+        tr = self.tongue(h, at, texts)
         agree = np.einsum("ij,ij->i", (tr > 0).astype(float), (tp > 0).astype(float))
         both = (tr.sum(axis=1) > 0) & (tp.sum(axis=1) > 0)
         marks = np.array([ending_marks(t.rstrip()) if t else (False, False, False) for t in texts], dtype=float).reshape(n, 3)
         known, ends = np.zeros(n), at[1:] - 1
-        three, two = three.view(np.int64), two.view(np.int64)
+        at_three, at_two = three.view(np.int64)[ends].tolist() if len(h) else [], two.view(np.int64)[ends].tolist() if len(h) else []
         for i in np.flatnonzero(size > 0):
-            known[i] = max(self.known.get(int(three[ends[i]]), 0.0) if size[i] >= 3 else 0.0, self.known.get(int(two[ends[i]]), 0.0) if size[i] >= 2 else 0.0)
+            known[i] = max(self.known.get(at_three[i], 0.0) if size[i] >= 3 else 0.0, self.known.get(at_two[i], 0.0) if size[i] >= 2 else 0.0)
         closed = ((known >= PROPER) | (marks[:, 1] > 0)) & (marks[:, 2] == 0)
         dense = np.zeros((n, self.DENSE))
-        repeats = (in_problem >= 0.8) & (in_reply >= 0.85)
+        repeats = (in_problem >= COPIED) & (in_reply >= WHOLE)
         for j, x in enumerate(
             [
                 np.ones(n), known, marks[:, 0], marks[:, 1], marks[:, 2], ~closed, ~closed & ~repeats, in_problem, in_reply, in_problem * in_reply, repeats, repeats | (answer_in >= 0.8) & (problem_in >= 0.5),
@@ -149,7 +194,7 @@ class Featurer:
             ]
         ):
             dense[:, j] = x
-        return rows, columns, values, dense
+        return Features(h, at, two, dense)
 
 
 def refuse(rng: random.Random, lang: str, problem: str) -> str:
@@ -201,7 +246,7 @@ class Classifier:
     """Linear scores of all labels, fitted by logistic loss with Adam; thresholds of best F1 on held-out pairs."""
 
     def __init__(self, featurer: Featurer, pairs: list[tuple[str, str, str, str | None]], steps: int = 80, seed: int = 3):
-        self.wide = np.zeros((WIDTH, len(LABELS)))
+        self.wide = np.zeros((len(LABELS), WIDTH + 1), dtype=np.float32)
         self.dense = np.zeros((Featurer.DENSE, len(LABELS)))
         self.threshold = np.zeros(len(LABELS))
         if not pairs:
@@ -210,24 +255,27 @@ class Classifier:
         order = np.random.default_rng(seed).permutation(len(pairs))
         held = int(len(order) * 0.2)
         test, train = [pairs[i] for i in order[:held]], [pairs[i] for i in order[held:]]
-        rows, columns, values, dense = self._features(featurer, train)
+        features = self._features(featurer, train)
         y = np.array([[lab == name for name in LABELS] for *_, lab in train], dtype=float)
         n = len(train)
-        m1, v1, m2, v2 = (np.zeros_like(x) for x in (self.wide, self.wide, self.dense, self.dense))
-        used = np.unique(columns)
+        rows, columns, values = features.triples()
+        by_column = np.argsort(columns, kind="stable")
+        rows, values = rows[by_column], values[by_column]
+        used, begin = np.unique(columns[by_column], return_index=True)
+        wide = np.zeros((len(LABELS), len(used)), dtype=np.float32)
+        m1, v1, m2, v2 = (np.zeros_like(x) for x in (wide, wide, self.dense, self.dense))
         for step in range(1, steps + 1):
-            z = self._linear(rows, columns, values, dense, n)
+            z = features.linear(self.wide, self.dense)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            gw = np.stack([np.bincount(columns, weights=values * g[rows, j], minlength=WIDTH) for j in range(len(LABELS))], axis=1)
-            gd = dense.T @ g
-            for w, grad, m, v, rate in ((self.wide, gw + 2e-5 * self.wide, m1, v1, 0.06), (self.dense, gd + 1e-5 * self.dense, m2, v2, 0.12)):
+            by_label = np.ascontiguousarray(g.T, dtype=np.float32)
+            gw = np.stack([np.add.reduceat(values * by_label[j][rows], begin) for j in range(len(LABELS))])
+            gd = features.dense.T @ g
+            for w, grad, m, v, rate in ((wide, gw + 2e-5 * wide, m1, v1, 0.06), (self.dense, gd + 1e-5 * self.dense, m2, v2, 0.12)):
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        mask = np.ones(WIDTH, dtype=bool)
-        mask[used] = False
-        self.wide[mask] = 0
-        z = self._linear(*self._features(featurer, test), len(test))
+            self.wide[:, used] = wide
+        z = self._features(featurer, test).linear(self.wide, self.dense)
         truth = np.array([[lab == name for name in LABELS] for *_, lab in test])
         # sound pairs are far more frequent in fact than among the synthetic ones
         weight = np.where([lab is None for *_, lab in test], 8.0, 1.0)
@@ -240,48 +288,46 @@ class Classifier:
         self.held_out = float(((z > self.threshold) == truth).mean())
 
     @staticmethod
-    def _features(featurer: Featurer, pairs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _features(featurer: Featurer, pairs: list) -> Features:
         q, a, t, *_ = zip(*pairs)
         return featurer(list(q), list(a), list(t))
 
-    def _linear(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, weights=values * self.wide[columns, j], minlength=n) for j in range(len(LABELS))], axis=1) + dense @ self.dense
-
     def margins(self, featurer: Featurer, problems: list, answers: list, texts: list) -> np.ndarray:
         """Scores above the thresholds. A reply that ends properly isn't truncated, and one with an open block or formula is, whatever their n-grams say; one that repeats its problem aside."""
-        rows, columns, values, dense = featurer(problems, answers, texts)
-        out = self._linear(rows, columns, values, dense, len(texts)) - self.threshold
+        features = featurer(problems, answers, texts)
+        dense = features.dense
+        out = features.linear(self.wide, self.dense) - self.threshold
         out[(dense[:, 5] == 0) & (dense[:, 2] == 0), 0] = -np.inf
         opened = (dense[:, 4] > 0) & (dense[:, 10] == 0)
         out[opened, 0] = np.maximum(out[opened, 0], 1e-6)
         return out
 
 
-def sound_sample(replies: DataFrame, known: dict[int, float], total: int, most: int = SAMPLE) -> list[tuple[str, str, str, str]]:
+def sound_sample(replies: Replies, known: dict[int, float], total: int, most: int = SAMPLE) -> list[tuple[str, str, str, str]]:
     """Of about `total` replies at most `most` pairs that look sound, with their language: long enough, properly ended, in the problem's language, no copy."""
-    some = smallest(replies.where("problem is not null and length(text) >= 150"), F.xxhash64("tbl", "rec_id"), most, total, "tbl", "rec_id").select("problem", "answer", "text").collect()
+    some = smallest(replies.joined().where("problem is not null and length(text) >= 150"), F.xxhash64("tbl", "rec_id"), most, total, "tbl", "rec_id").select("problem", "answer", "text").collect()
     if not some:
         return []
     featurer = Featurer(known)
     q, a, t = (list(x) for x in zip(*some))
-    _, _, _, dense = featurer(q, a, t)
-    h, at = featurer.reader.read(q)
-    tongue = featurer.tongue(h, at, q)
+    dense = featurer(q, a, t).dense
+    _, tongue = featurer.of_problems(q)
     keep = (dense[:, 5] == 0) & (dense[:, 11] == 0) & (dense[:, 14] > 0) & (dense[:, 17] == 0)
     return [(TONGUES[int(tongue[i].argmax())], q[i], a[i] or "", t[i]) for i in np.flatnonzero(keep)]
 
 
-def faulty_pairs(replies: DataFrame, most: int = SAMPLE) -> DataFrame:
+def faulty_pairs(replies: DataFrame | Replies, most: int = SAMPLE) -> DataFrame:
     """(tbl, rec_id, defect) of the faulty pairs among (tbl, rec_id, source, problem, answer, text), each with one defect.
 
     A null, blank or placeholder reply is `empty`, and so is a pair without another defect whose answer is one. Pairs without a problem can only be truncated, refusals or
     empty. Redelivered rows come out once. The classifier is broadcast: its size doesn't depend on the data.
     """
-    ends = cut(endings(replies), "endings")
-    known, total = known_endings(replies, ends), ends.count()
+    replies = of(replies)
+    ends = cut(slim(replies.bare).select("text_key", "tokens", "ending", "short_ending"), "endings")
+    known, total = known_endings(replies.bare, ends), ends.count()
     featurer = Featurer(known)
     model = Classifier(featurer, synthetic(sound_sample(replies, known, total, most)))
-    held = replies.sparkSession.sparkContext.broadcast((known, model))
+    held = ends.sparkSession.sparkContext.broadcast((known, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         endings, linear = held.value
@@ -301,14 +347,14 @@ def faulty_pairs(replies: DataFrame, most: int = SAMPLE) -> DataFrame:
                 keep = [i for i, d in enumerate(defect) if d]
                 yield pa.RecordBatch.from_arrays([pa.array([tbl[i] for i in keep], type=pa.string()), pa.array([rec[i] for i in keep], type=pa.int64()), pa.array([defect[i] for i in keep], type=pa.string())], names=["tbl", "rec_id", "defect"])
 
-    marked = replies.select("tbl", "rec_id", "problem", "answer", "text", no_answer(F.col("text")).alias("empty_text"), no_answer(F.col("answer")).alias("empty_answer"))
+    marked = replies.joined().select("tbl", "rec_id", "problem", "answer", "text", no_answer(F.col("text")).alias("empty_text"), no_answer(F.col("answer")).alias("empty_answer"))
     found = marked.mapInArrow(run, "tbl string, rec_id bigint, defect string")
     return found.groupBy("tbl", "rec_id").agg(F.min("defect").alias("defect"))
 
 
-def defect_report(replies: DataFrame) -> DataFrame:
+def defect_report(replies: DataFrame | Replies) -> DataFrame:
     """(tbl, source, defect, pairs, share) with the sound pairs as defect "none"."""
-    once = replies.select("tbl", "rec_id", F.coalesce("source", F.lit("(none)")).alias("source")).distinct()
+    once = sources(of(replies))
     each = once.join(faulty_pairs(replies), ["tbl", "rec_id"], "left").groupBy("tbl", "source", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("pairs"))
     total = once.groupBy("tbl", "source").agg(F.count(F.lit(1)).alias("total"))
     return each.join(total, ["tbl", "source"]).select("tbl", "source", "defect", "pairs", (F.col("pairs") / F.col("total")).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm import crosssplit, leakage, ledger, nearpivot, pairs, subjects, tokenizer, truncation
-from rolloom.llm.replies import all_replies
+from rolloom.llm.replies import Replies, all_replies
 from rolloom.session import read_table
 
 
@@ -49,7 +49,7 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _replies(spark: SparkSession, sf: str) -> DataFrame:
+def _replies(spark: SparkSession, sf: str) -> Replies:
     return all_replies(*(read_table(spark, sf, t) for t in ("results", "infer_runs", "samples")))
 
 

@@ -75,7 +75,7 @@ def test_cut_replies(made):
 
 def test_length_spike(made):
     df, _ = made
-    assert ("limited", "chars", 300) in {(r.source, r.unit, r.length) for r in L.length_spikes(L.slim(df)).collect()}
+    assert ("limited", "chars", 300) in {(r.source, r.unit, r.length) for r in L.length_spikes(L.slim(L.of(df).bare)).collect()}
 
 
 def test_faulty_pairs(made):
@@ -103,10 +103,30 @@ def test_ending_marks(text, marks):
 
 def test_reader_past_its_cap():
     small, large = L.Reader(most=10), L.Reader()
-    problems = [f"word{chr(97 + i)}" for i in range(4)]
+    problems = [f"word{chr(97 + i)} in a row of words" for i in range(4)]
     small.read_again(problems[:2]), small.read([f"text{chr(97 + i)}" for i in range(20)])
     for a, b in zip(small.read_again([*problems, None]), large.read_again([*problems, None])):
-        assert a.tolist() == b.tolist()
+        assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
+TAILS = [
+    "Then the kernel covers all of " + " and then ".join("the matrix and x" for _ in range(40)) + t
+    for t in (" is (" + ", ".join(map(str, range(1, 151))) + ")", " is (" + ", ".join(map(str, range(1, 151))), " a = 3, b = -4, c = 5", " a = 3, b = -4, c =", "", " …", " x" * 300, "(1, 2) (3, 4)", " " + "9" * 400, " " + "-" * 500, " ΑΣ ΣΑΣ")
+]
+
+
+@pytest.mark.parametrize("text", [*TAILS, "a", "a b", "7, 8"])
+def test_last_tokens_are_those_of_the_whole_text(text):
+    one, other = L.Reader(), L.Reader()
+    (a, at_a), (b, at_b) = one.read([text], lambda t: one.last(t)[-3:]), other.read([text])
+    assert a.tolist() == b[-3:].tolist()
+
+
+@pytest.mark.parametrize("text", [*TAILS, "x = 3, y=4; (1, 2), (1,2) a_b c_1 1,000.5 ½ don't\u00a0stop\u2003x\x1cy"])
+def test_pieces_are_read_as_the_whole_text(text):
+    reader = L.Reader()
+    tokens = L.TOKEN.findall(text.lower())
+    assert reader.read([text])[0].tolist() == [L.xxhash.xxh64_intdigest("#" if L._is_number(t) else t) for t in tokens]
 
 
 def test_copies_of_a_cut_reply_dont_certify_its_end(spark):
@@ -116,8 +136,8 @@ def test_copies_of_a_cut_reply_dont_certify_its_end(spark):
     rows += [("results", 1000 + i, "m", problem(rng), "5", cut + " " * (i % 3)) for i in range(40)]
     df = spark.createDataFrame(rows, "tbl string, rec_id bigint, source string, problem string, answer string, text string")
     assert {r.rec_id for r in C.cut_replies(df).collect()} >= set(range(1000, 1040))
-    ends = L.endings(df)
-    assert L.known_endings(df, ends) == L.known_endings(df, L.slim(df)) == L.known_endings(df.union(df), L.slim(df.union(df)))
+    once, twice = L.of(df).bare, L.of(df.union(df)).bare
+    assert L.known_endings(once, L.slim(once)) == L.known_endings(twice, L.slim(twice))
 
 
 @pytest.mark.parametrize("text,left", [("It costs $5.", False), ("Pay \\$5 for $x$ and $y.", True), ("Hence $x = 3.", True), (r"\left\{ \begin{array}{l} 1 \end{array} \right. done.", False), (r"the set \{1, 2.", True), ("$5 + x$ holds.", False)])
