@@ -49,9 +49,9 @@ def fold(text: Column) -> Column:
     """
     source, target = _fold_table()
     plain = F.regexp_replace(text, r"(?m)^[ \t]*>+[ \t]?", "")
-    plain = F.translate(F.lower(F.translate(plain, source, target)), source, target)
-    plain = F.regexp_replace(plain, r"[\p{M}\p{Cf}]+", "")
-    return F.regexp_replace(plain, r"[\s\p{Z}\u0085]+", " ")
+    folded = F.regexp_replace(F.translate(F.lower(F.translate(plain, source, target)), source, target), r"[\p{M}\p{Cf}]+", "")
+    # looking characters up is slow, and ASCII texts need none
+    return F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(plain)), r"[\s\p{Z}\u0085]+", " ")
 
 
 def _strip_marks(text: Column) -> Column:

@@ -32,7 +32,7 @@ def words(text: str | None) -> list[str]:
 
 
 class Hasher:
-    """64-bit hashes of words, with a cache of bounded size."""
+    """64-bit hashes of words, with a cache of bounded size. The lowest bit tells whether a word has a digit."""
 
     def __init__(self, most: int = 1 << 17):
         self.cache: dict[str, int] = {}
@@ -45,11 +45,18 @@ class Hasher:
             if h is None:
                 if len(cache) >= self.most:
                     cache.clear()
-                h = cache[w] = xxhash.xxh64_intdigest(w)
+                h = xxhash.xxh64_intdigest(w) & ~1 | any(c.isdigit() for c in w)
+                if len(w) <= 64:
+                    cache[w] = h
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
 
+def without_digits(hashes: np.ndarray) -> np.ndarray:
+    """The hashes of words without digits."""
+    return hashes[(hashes & np.uint64(1)) == 0]
+
+
 def occurrences(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct token hashes: the k-th occurrence of a word is a token of its own."""
     if not len(hashes):
@@ -72,24 +79,26 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 class MinHash:
-    """Band keys of token sets: `bands` keys of `rows` minima each."""
+    """Band keys of token sets: `bands` keys of `rows` minima each. Minima are of 32 bits, which vector units multiply fast."""
 
     def __init__(self, bands: int, rows: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.a = (rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.a = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.c = rng.integers(1, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         """One signed 64-bit key for each band."""
-        least = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
+        least = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
         with np.errstate(over="ignore"):
-            for i in range(0, len(tokens), 512):  # long texts in steps, so that memory stays small
-                np.minimum(least, (self.a[:, None] * tokens[None, i : i + 512]).min(axis=1), out=least)
-            mixed = ((least ^ (least >> np.uint64(33))).reshape(self.bands, self.rows) * self.c).sum(axis=1)
-            mixed ^= mixed >> np.uint64(29)
-            mixed = mixed * np.uint64(0x94D049BB133111EB) + np.arange(self.bands, dtype=np.uint64)
-        return mixed.view(np.int64)
+            short = (tokens >> np.uint64(32)).astype(np.uint32)
+            for i in range(0, len(short), 256):  # long texts in steps, so that memory stays small
+                np.minimum(least, (short[i : i + 256, None] * self.a).min(axis=0), out=least)
+            keys = least.astype(np.uint64).reshape(self.bands, self.rows) * MIX
+            keys = ((keys ^ (keys >> np.uint64(32))) * self.c).sum(axis=1)
+            keys ^= keys >> np.uint64(29)
+            keys = keys * np.uint64(0x94D049BB133111EB) + np.arange(self.bands, dtype=np.uint64)
+        return keys.view(np.int64)
 
 
 def folded(tokens: np.ndarray, bits: int = 512) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.session import cut
+from rolloom.session import cut, release
 
 
 def _to_least(links: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, comp) for every node of `links`, comp being the smallest node it is connected with.
 
     Links may be repeated, in either direction, or join a node with itself; null ends are ignored. Every round is written to
-    the shared folder; only two numbers a round come to the driver.
+    the shared folder, in place of the one before; only two numbers a round come to the driver.
     """
     at = cut(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     loops = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("comp"))
@@ -36,7 +36,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-        at = cut(_star(at), "links")
+        before, at = at, cut(_star(at), "links")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     stars = at.select(F.col("u").alias("node"), F.col("v").alias("comp"))

@@ -44,10 +44,18 @@ def _drop(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to a table in the shared folder and read it back: later stages don't depend on any executor.
 
-    The table is removed when the driver's interpreter ends.
+    The table is removed by `release`, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rolloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rolloom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables written by `cut` whose successors are written too. Nothing that is still to be computed may read them."""
+    for df in tables:
+        _drop(df.sparkSession, df._rolloom_path)
