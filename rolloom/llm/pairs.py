@@ -293,12 +293,12 @@ class Classifier:
         return featurer(list(q), list(a), list(t))
 
     def margins(self, featurer: Featurer, problems: list, answers: list, texts: list) -> np.ndarray:
-        """Scores above the thresholds. A reply that ends properly isn't truncated, and one with an open block or formula is, whatever their n-grams say; one that repeats its problem aside."""
+        """Scores above the thresholds. A reply that ends properly isn't truncated, and one with a cut mark or an open block or formula is, whatever their n-grams say; one that repeats its problem aside."""
         features = featurer(problems, answers, texts)
         dense = features.dense
         out = features.linear(self.wide, self.dense) - self.threshold
         out[(dense[:, 5] == 0) & (dense[:, 2] == 0), 0] = -np.inf
-        opened = (dense[:, 4] > 0) & (dense[:, 10] == 0)
+        opened = ((dense[:, 4] > 0) | (dense[:, 2] > 0)) & (dense[:, 10] == 0)
         out[opened, 0] = np.maximum(out[opened, 0], 1e-6)
         return out
 
