@@ -122,10 +122,19 @@ def canonical_text(text: Column) -> Column:
 PLACEHOLDERS = ["none", "null", "nan", "na", "n/a", "nil", "unknown", "tbd", "todo", "empty", "blank", "placeholder", "answer", "youranswer", "pending", "undefined", "notavailable", "notapplicable", "notgiven", "missing"]
 
 
+def _nothing(plain: Column) -> Column:
+    """Of a folded value without marks: nothing but blanks and punctuation, or a placeholder."""
+    bare = F.regexp_replace(plain, r"[^\p{L}\p{N}/]+", "")
+    return bare.isin("", "/", *PLACEHOLDERS) | bare.rlike("^no(answer|output|response|reply|result|content|text|data|value)(found|extracted|given|available|provided)?$")
+
+
 def no_answer(value: Column) -> Column:
     """True for null, blank, marks only (an empty box too), and placeholders without content."""
     # texts of more letters and digits aren't folded at all; padding and rows of marks of any length don't count
     short = F.when((F.length(value) <= 80) | ~value.rlike(r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){81}"), value)
-    plain = F.regexp_replace(_strip_marks(fold(short)), r"[^\p{L}\p{N}/]+", "")
-    nothing = plain.isin("", "/", *PLACEHOLDERS) | plain.rlike("^no(answer|output|response|reply|result|content|text|data|value)(found|extracted|given|available|provided)?$")
-    return value.isNull() | F.coalesce(nothing, F.lit(False))
+    return value.isNull() | F.coalesce(_nothing(_strip_marks(fold(short))), F.lit(False))
+
+
+def answer_content(answer: Column) -> Column:
+    """`canonical_answer`, but null for what is `no_answer` or has no content; the value is folded once for both."""
+    return let(F.trim(_strip_marks(fold(answer))), lambda plain: F.when(~_nothing(plain), F.nullif(_canonical_plain(plain), F.lit(""))))

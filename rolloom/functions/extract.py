@@ -5,12 +5,14 @@ Several definitions of "the answer" coexist; each is an operator of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The patterns that define the operators.
 FLAT_BOX = r"\\boxed\{([^}]+)\}"
@@ -110,21 +112,27 @@ def is_numeric(answer: Column) -> Column:
     return answer.rlike(NUMERIC)
 
 
-@F.pandas_udf(StringType())
-def _float_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Numbers in the writing of a double: whole ones as integers; what is no number, or not finite, as it is."""
+def _each_once(parts: pd.Series, write: Callable[[str], str]) -> pd.Series:
+    """`write` of each distinct value of a batch; nulls stay."""
+    values = parts.dropna().unique()
+    return parts.map(dict(zip(values, map(write, values)))).astype(object).where(parts.notna(), None)
+
+
+def _shortest(text: str) -> str:
+    """The shortest writing of a text's double, without a point where it is whole; a text that stands for no finite double stays."""
+    try:
+        double = float(text)
+    except ValueError:
+        return text
+    if not math.isfinite(double):
+        return text
+    return "0" if double == 0 else f"{double:.0f}" if double.is_integer() else repr(double)
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        try:
-            value = float(x)
-            return str(int(value)) if value == int(value) else str(value)
-        except (ValueError, OverflowError):
-            return x
 
+@F.pandas_udf(StringType())
+def _doubles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
-        yield s.map(one, na_action="ignore")
+        yield _each_once(s, _shortest)
 
 
 def normal_number(text: Column) -> Column:
@@ -140,7 +148,7 @@ def normal_number(text: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(digits, r"\.$", ""), r"^(?=\.|$)", "0")
     native = F.when(plain.rlike(simple) & ~plain.rlike(r"^[+-]?0*\.0{3}"), F.concat(F.when(plain.startswith("-") & (digits.rlike("[1-9]")), "-").otherwise(""), digits))
     other = F.when(native.isNull() & plain.rlike(r"(?iU)\d|^[+-]?(nan|inf|infinity)$"), plain)
-    return F.coalesce(native, _float_text(other), plain)
+    return F.coalesce(native, _doubles(other), plain)
 
 
 # The LaTeX writings that cleaning takes out of a box.
@@ -152,30 +160,34 @@ def clean_boxed(raw: Column) -> Column:
     return normal_number(strip(F.regexp_replace(F.substring_index(raw, "=", -1), LATEX_NOISE, "")))
 
 
-@F.pandas_udf(StringType())
-def _ten_digits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Plain numbers and fractions of them to ten significant digits; other texts (with exponents or a plus sign too) as they are."""
-    from fractions import Fraction
+#: A plain number, or a ratio of whole ones; neither exponent nor plus sign.
+_RATIO = re.compile(r"(?P<above>-?\d+)/(?P<below>\d+)|-?(?:\d+\.?\d*|\.\d+)")
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        try:
-            digits = x.replace("-", "").replace(".", "")
-            if "/" in x and digits.replace("/", "").isdigit():
-                return f"{float(Fraction(x)):.10g}"
-            return f"{float(x):.10g}" if digits.isdigit() else x
-        except (ValueError, ZeroDivisionError, OverflowError):
-            return x
 
+def _significant(text: str) -> str:
+    """A number or ratio to ten significant digits; other texts stay."""
+    found = _RATIO.fullmatch(text)
+    if not found:
+        return text
+    try:
+        return "%.10g" % (float(text) if found["below"] is None else int(found["above"]) / int(found["below"]))
+    except (ZeroDivisionError, OverflowError):
+        return text
+
+
+@F.pandas_udf(StringType())
+def _ten_digits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
-        yield s.map(one, na_action="ignore")
+        yield _each_once(s, _significant)
 
 
 def gate_answer(answer: Column) -> Column:
     """For the numeric gate only: lower case, LaTeX signs and white space out, comma as point, numbers and fractions to ten digits."""
     plain = F.regexp_replace(F.translate(F.lower(strip(answer)), "\\${}", ""), r"(?U)\s+", "")
-    return _ten_digits(F.replace(plain, F.lit(","), F.lit(".")))
+    point = F.replace(plain, F.lit(","), F.lit("."))
+    # whole numbers of up to ten digits stay but for zeros in front; what holds no digit stays too
+    whole = F.when(point.rlike(r"^-?[0-9]{1,10}$"), F.regexp_replace(point, r"^(-?)0+(?=[0-9])", "$1"))
+    return F.coalesce(whole, _ten_digits(F.when(whole.isNull() & point.rlike(r"(?U)\d"), point)), point)
 
 
 def strip_latex(text: Column) -> Column:
@@ -194,19 +206,30 @@ def after_hashes(reference: Column) -> Column:
     return normal_number(F.substring_index(reference, "####", -1))
 
 
-@F.pandas_udf(StringType())
-def canonical_molecule(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical form of a SMILES text, components sorted; null where one is invalid, or without a chemistry library."""
+def _chemistry() -> Callable[[str], str | None] | None:
+    """Canonical form of one component; null for a text that is no molecule. None without a chemistry library."""
     try:
         from rdkit import Chem
     except ImportError:
-        Chem = None
+        return None
 
-    def one(x: str | None) -> str | None:
-        if x is None or Chem is None:
+    def form(text: str) -> str | None:
+        try:
+            return Chem.MolToSmiles(Chem.MolFromSmiles(text))
+        except Exception:  # the library's own kinds: no molecule
             return None
-        made = [Chem.MolFromSmiles(p) for p in x.split(".")]
-        return None if any(m is None for m in made) else ".".join(sorted(map(Chem.MolToSmiles, made)))
 
-    for s in parts:
-        yield s.map(one, na_action="ignore").astype(object)
+    return form
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _component_forms(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    form = _chemistry()
+    for components in rows:
+        yield components.map(lambda c: None if c is None or form is None else [form(x) for x in c])
+
+
+def canonical_molecule(text: Column) -> Column:
+    """Canonical form of a SMILES text, components sorted; null where a component is no molecule, or without a chemistry library."""
+    forms = _component_forms(F.transform(F.split(text, r"\."), strip))
+    return F.when(~F.exists(forms, lambda x: x.isNull()), F.array_join(F.array_sort(forms), "."))

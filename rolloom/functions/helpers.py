@@ -69,6 +69,11 @@ def with_hidden(hidden: Column, content: Column) -> Column:
     return F.when(F.length(hidden) > 0, F.concat(hidden, F.lit("\n\n"), content)).otherwise(content)
 
 
+def hidden_length(hidden: Column) -> Column:
+    """Characters of the hidden reasoning; null where there is none."""
+    return F.nullif(F.length(hidden), F.lit(0))
+
+
 def provider_of(key: Column) -> Column:
     """The key without its last _ part."""
     return F.regexp_replace(key, "_[^_]*$", "")

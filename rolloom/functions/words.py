@@ -45,7 +45,7 @@ class Hasher:
             if h is None:
                 if len(cache) >= self.most:
                     cache.clear()
-                h = xxhash.xxh64_intdigest(w) & ~1 | any(c.isdigit() for c in w)
+                h = xxhash.xxh64_intdigest(w) & ~1 | (not w.isalpha() and any(c.isdigit() for c in w))
                 if len(w) <= 64:
                     cache[w] = h
             out.append(h)

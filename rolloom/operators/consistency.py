@@ -40,13 +40,10 @@ def agreement_all(samples: DataFrame, by: list[str], answer: str, order: str) ->
 
 def agreement_valid(samples: DataFrame, by: list[str], answer: str, order: str) -> DataFrame:
     """Votes of the majority over non-empty answers, to three digits; with n_valid and n_empty. Without a valid answer: "" and 0."""
-    valid = F.coalesce(F.col(answer) != "", F.lit(False))
-    best = majority(samples.where(valid), by, answer, order).withColumnRenamed("total", "n_valid")
-    every = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"))
-    return every.join(best, by, "left").select(
-        *by, F.coalesce("majority", F.lit("")).alias("majority_answer"), F.coalesce(F.round(F.col("votes") / F.col("n_valid"), 3), F.lit(0.0)).alias("agreement_rate"),
-        F.coalesce("n_valid", F.lit(0)).alias("n_valid"), (F.col("n_samples") - F.coalesce("n_valid", F.lit(0))).alias("n_empty"),
-    )
+    rank = F.when(F.col(answer) != "", F.struct(F.col("n"), -F.col("first_at")))  # a null rank is no candidate
+    counts = answer_counts(samples, by, answer, order).groupBy(*by).agg(F.max_by(answer, rank).alias("best"), F.max(F.when(F.col(answer) != "", F.col("n"))).alias("votes"), F.coalesce(F.sum(F.when(F.col(answer) != "", F.col("n"))), F.lit(0)).alias("n_valid"), F.sum("n").alias("n_samples"))
+    rate = F.coalesce(F.round(F.try_divide("votes", "n_valid"), 3), F.lit(0.0))
+    return counts.select(*by, F.coalesce("best", F.lit("")).alias("majority_answer"), rate.alias("agreement_rate"), "n_valid", (F.col("n_samples") - F.col("n_valid")).alias("n_empty"))
 
 
 def keep_gate(rate: Column, answer: Column, gate: Column, low: float = 0.60, high: float = 0.80) -> Column:
@@ -99,5 +96,6 @@ def random_picks(options: DataFrame, order: str, picks: int, seed: int = 0) -> D
     """`picks` draws with replacement, each option equally likely: (pick, and the option's columns). Repeatable by seed and order."""
     numbered = number_rows(options, order)
     total = options.agg(F.count(F.lit(1))).scalar()
-    drawn = options.sparkSession.range(picks).withColumnRenamed("id", "pick").withColumn("_n", total).where("_n > 0").withColumn("rn", F.pmod(F.xxhash64(F.lit(seed), "pick"), F.col("_n")) + 1)
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pick").cast("string"))), 1, 12), 16, 10).cast("bigint")
+    drawn = options.sparkSession.range(picks).withColumnRenamed("id", "pick").withColumn("_n", total).where("_n > 0").withColumn("rn", F.pmod(number, F.col("_n")) + 1)
     return drawn.join(numbered, "rn").drop("rn", "_n")

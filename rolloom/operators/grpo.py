@@ -82,9 +82,9 @@ def step_metrics(rollouts: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def datums(rollouts: DataFrame) -> DataFrame:
-    """Padded training records of rollouts (prompt_tokens, tokens, logprobs, reward) of groups with signal."""
-    return advantages(with_signal(rollouts)).withColumn("datum", padded(F.col("prompt_tokens"), F.col("tokens"), F.col("logprobs"), F.col("advantage"))).select(*GROUP, "sample_idx", "datum.*")
+def datums(rollouts: DataFrame, *more: str) -> DataFrame:
+    """Padded training records of rollouts (prompt_tokens, tokens, logprobs, reward) of groups with signal, with `more` of their columns."""
+    return advantages(with_signal(rollouts)).withColumn("datum", padded(F.col("prompt_tokens"), F.col("tokens"), F.col("logprobs"), F.col("advantage"))).select(*GROUP, "sample_idx", *more, "datum.*")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

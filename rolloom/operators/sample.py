@@ -10,8 +10,8 @@ def smallest(rows: DataFrame, hashed: Column, n: int, total: int, *then: str) ->
     """The `n` rows with the smallest 64-bit hash, then in the order of `then`.
 
     Each task of a top-k sends `n` rows to the driver, so rows that can't be among them are left out before: with about `total` rows, the smallest `n` hashes lie within
-    the first 4 n / total of all hashes (fewer than `n` of 4 n expected rows there has a probability below e^-n for any n in use).
+    the first 2 n / total of all hashes (fewer than `n` of 2 n expected rows there has a probability below e^(-n / 4)).
     """
-    if total > 8 * n:
-        rows = rows.where(hashed < F.lit(-(1 << 63) + int((1 << 64) * (4 * n / total))))
+    if total > 4 * n:
+        rows = rows.where(hashed < F.lit(-(1 << 63) + int((1 << 64) * (2 * n / total))))
     return rows.orderBy(hashed, *then).limit(n)

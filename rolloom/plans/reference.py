@@ -14,8 +14,10 @@ from rolloom.functions import extract as X
 from rolloom.functions import helpers as H
 from rolloom.functions import rewards as R
 from rolloom.operators import consistency as C
+from rolloom.operators import documents as D
 from rolloom.operators import evaluate as E
 from rolloom.operators import grpo as G
+from rolloom.operators import trainer as T
 from rolloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,16 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "results").select("result_id", "run_id", "source_id", "sample_idx", F.coalesce("answer", F.lit("")).alias("answer"), "reasoning", "elapsed_s", "error").dropDuplicates(["result_id"])
 
 
+def of_samples(spark: SparkSession, sf: str, build: Callable[[], Column], name: str) -> DataFrame:
+    """(sample_id, a value of the sample's texts), each sample once. Redelivered rows are dropped after the value is formed, so that texts aren't shuffled."""
+    return read_table(spark, sf, "samples").select("sample_id", build().alias(name)).dropDuplicates(["sample_id"])
+
+
+def of_results(spark: SparkSession, sf: str, build: Callable[[Column], Column]) -> DataFrame:
+    """(result_id, answer) by a function of the answer, each result once."""
+    return read_table(spark, sf, "results").select("result_id", build(F.coalesce("answer", F.lit(""))).alias("answer")).dropDuplicates(["result_id"])
+
+
 def rounded(x: Column, digits: int = 6) -> Column:
     """Rounded, with 0.0 for -0.0."""
     return F.round(x, digits) + F.lit(0.0)
@@ -70,7 +82,9 @@ def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
     (select round(avg(skip::int), 6) from g where g.step = a.step) as skipped_frac, (select sum(case when skip then 0 else n end)::bigint from g where g.step = a.step) as datums from a group by step"""
 )
 def step_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = G.step_metrics(samples(spark, sf), F.size(F.regexp_extract_all(F.coalesce("response", F.lit("")), F.lit(r"\S+"), F.lit(0))))
+    tokens = F.size(F.regexp_extract_all(F.coalesce("response", F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    rows = read_table(spark, sf, "samples").select("sample_id", "step", "problem_id", "reward", tokens.alias("n_tokens")).dropDuplicates(["sample_id"])
+    m = G.step_metrics(rows, F.col("n_tokens"))
     return m.select("step", *[F.round(c, 6).alias(c) for c in ("reward_mean",)], "reward_max", "reward_min", *[F.round(c, 6).alias(c) for c in ("advantage_std", "tokens_mean", "skipped_frac")], "datums")
 
 
@@ -203,7 +217,7 @@ def run_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return C.run_totals(read_table(spark, sf, "generated_problems").withColumn("source_run", F.coalesce("source_run", F.lit("(none)"))), "source_run", "n_samples")
 
 
-@query()
+@query("with n as (select source_id, row_number() over (order by source_id) - 1 as rn, count(*) over () as total from source_problems) select pick, source_id from range(200) p(pick) join n on ('0x' || substr(md5('0:' || pick::varchar), 1, 12))::bigint % total = rn")
 def random_picks(spark: SparkSession, sf: str) -> DataFrame:
     return C.random_picks(read_table(spark, sf, "source_problems"), "source_id", 200).select("pick", "source_id")
 
@@ -213,7 +227,7 @@ def random_picks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _extract(name: str, build: Callable[[Column], Column], sql: str | None) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return samples(spark, sf).select("sample_id", build(F.col("response")).alias("answer"))
+        return of_samples(spark, sf, lambda: build(F.col("response")), "answer")
 
     run.__name__ = name
     query(f"with {SAMPLES} {sql}" if sql else None)(run)
@@ -236,8 +250,6 @@ _extract("extract_answer_tag", X.answer_tag, f", {BOXED} select sample_id, tag a
 _extract("extract_final_phrase", X.final_phrase, f", {BOXED} select sample_id, phrase as answer from x")
 _extract("extract_chain_tag_first", X.chain_tag_first, f", {BOXED} select sample_id, case when response is not null then coalesce(tag, flat, phrase, '') end as answer from x")
 _extract("extract_chain_box_first", X.chain_box_first, f", {BOXED} select sample_id, case when response is not null then coalesce(nullif(boxed, ''), tag, phrase, '') end as answer from x")
-_extract("extract_chain_cleaned", X.chain_cleaned, None)
-_extract("extract_chain_checked", X.chain_cleaned_checked, None)
 _extract("extract_display", X.chain_display, f", {BOXED} select sample_id, coalesce(tag, boxed, '(no answer extracted)') as answer from x")
 
 
@@ -248,22 +260,42 @@ def number_sql(x: str) -> str:
 
 @query(f"with {RESULTS} select result_id, {number_sql('answer')} as answer from r")
 def normalize_number(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select("result_id", X.normal_number(F.col("answer")).alias("answer"))
+    return of_results(spark, sf, X.normal_number)
+
+
+NOISE = r"\\(?:displaystyle|bigl?|Bigl?|bigr?|Bigr?|left|right|text\{[^}]*\}|lfloor|rfloor|,|;| )"
+
+
+def clean_sql(x: str) -> str:
+    last = f"list_last(string_split({x}, '='))"
+    return number_sql(STRIP.format(f"regexp_replace({last}, '{NOISE}', '', 'g')"))
 
 
-@query()
+CLEANED = f"coalesce(nullif({clean_sql('boxed')}, ''), nullif(boxed, ''), phrase, '')"
+_extract("extract_chain_cleaned", X.chain_cleaned, f", {BOXED} select sample_id, case when response is not null then {CLEANED} end as answer from x")
+_extract("extract_chain_checked", X.chain_cleaned_checked, f", {BOXED}, z as (select sample_id, case when response is not null then {CLEANED} end as a from x) select sample_id, case when contains(a, '<') and contains(a, '>') then '' else a end as answer from z")
+
+
+@query(f"with {RESULTS} select result_id, {clean_sql('answer')} as answer from r")
 def normalize_clean_boxed(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select("result_id", X.clean_boxed(F.col("answer")).alias("answer"))
+    return of_results(spark, sf, X.clean_boxed)
+
+
+GATED = GATE[len("regexp_matches(") : GATE.index(", '^[+-]?(")]
+TEN_DIGITS = (
+    "case when regexp_full_match(g, '-?(\\d+\\.?\\d*|\\.\\d+)') then format('{:.10g}', g::double) when regexp_full_match(g, '-?\\d+/\\d*[1-9]\\d*') "
+    "then format('{:.10g}', split_part(g, '/', 1)::double / split_part(g, '/', 2)::double) else g end"
+)
 
 
-@query()
+@query(f"with c as (select gen_id, {GATED} as g from generated_problems), d as (select gen_id, {TEN_DIGITS} as gate from c) select gen_id, gate, regexp_matches(gate, '^[+-]?\\d+([.,]\\d+)?(/\\d+)?$') as numeric from d")
 def normalize_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _gated(spark, sf).select("gen_id", "gate", X.is_numeric(F.col("gate")).alias("numeric"))
 
 
 @query(f"with {RESULTS} select result_id, case when contains(answer, '<') and contains(answer, '>') then '' else answer end as answer from r")
 def placeholder_reject(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select("result_id", X.reject_placeholder(F.col("answer")).alias("answer"))
+    return of_results(spark, sf, X.reject_placeholder)
 
 
 # ---- rewards; response against expected of samples
@@ -274,7 +306,7 @@ REF, HASHES = number_sql("ref"), number_sql(f"list_last(string_split({number_sql
 
 def _reward(name: str, reward: R.Reward, sql: str | None) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return samples(spark, sf).select("sample_id", rounded(reward(F.col("response"), F.col("expected"))).alias("reward"))
+        return of_samples(spark, sf, lambda: rounded(reward(F.col("response"), F.col("expected"))), "reward")
 
     run.__name__ = name
     query(f"{REWARD} select sample_id, ({sql})::double as reward from y" if sql else None)(run)
@@ -291,12 +323,15 @@ _reward("reward_tag_format", R.answer_tag_format_bonus, "case when tag is not nu
 _reward("reward_regex", R.regex_match(r"final.{0,40}\d"), "case when regexp_matches(resp, '(?s)final.{0,40}\\d') then 1.0 else 0.0 end")
 _reward("reward_length", R.length_penalty(100, 0.001), f"round(-0.001::double * greatest(0, {WORDS} - 100), 6) + 0.0::double")
 _reward("reward_combined", R.combined((1.0, R.boxed_match), (0.5, R.boxed_format_bonus)), f"round(1.0 * ({SQL_BOXED}) + 0.5 * (case when boxed is not null then 0.1 else -0.1 end), 6)")
-_reward("reward_smiles", R.smiles_match, None)
+
+# without a chemistry library molecules are compared as texts
+PLAIN_BOX = STRIP.format("replace(regexp_replace(boxed, '\\\\(?:text|texttt|textbf|mathrm|mathtt)\\{([^}]*)\\}', '\\1', 'g'), '\\,', '')")
+_reward("reward_smiles", R.smiles_match, f"case when coalesce({PLAIN_BOX} = {STRIP.format('ref')}, false) then 1.0 else 0.0 end")
 
 
-@query()
+@query(f"""with {SAMPLES} select sample_id, coalesce(predicted <> '' and {STRIP.format("regexp_replace(predicted, '\\\\text\\{([^}]*)\\}', '\\1', 'g')")} = {STRIP.format('expected')}, false) as correct from s""")
 def molecule_check(spark: SparkSession, sf: str) -> DataFrame:
-    return samples(spark, sf).select("sample_id", R.check_correct(F.col("predicted"), F.col("expected")).alias("correct"))
+    return of_samples(spark, sf, lambda: R.check_correct(F.col("predicted"), F.col("expected")), "correct")
 
 
 # ---- evaluation
@@ -446,10 +481,74 @@ def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
     return E.checkpoints(listing).select("run_id", "model")
 
 
-@query()
+@query(f"with m as ({SQL['step_metrics']}) select step, 'lr' as name, 4e-5::double as value from m union all select step, 'reward_mean', reward_mean from m union all select step, 'advantage_std', advantage_std from m")
 def metrics_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Step metrics as one map a step: computed values win over the optimizer's."""
     m = step_metrics(spark, sf)
     optimizer = F.create_map(F.lit("lr"), F.lit(4e-5), F.lit("reward_mean"), F.lit(-1.0))
     own = F.create_map(F.lit("reward_mean"), F.col("reward_mean"), F.lit("advantage_std"), F.col("advantage_std"))
     return m.select("step", F.explode(H.merged(optimizer, own)).alias("name", "value"))
+
+
+# ---- records and documents
+
+
+@query(f"""with {SAMPLES}, t as (select *, list_transform(regexp_extract_all(coalesce(prompt, ''), '\\S+'), lambda x: length(x)::int) as p, list_transform(regexp_extract_all(coalesce(response, ''), '\\S+'), lambda x: length(x)::int) as r from s),
+    a as (select *, reward - avg(reward) over w as adv from t window w as (partition by step, problem_id) qualify min(reward) over w <> max(reward) over w)
+    select sample_id, list_concat(p, r[:-2]) as input, list_concat(list_transform(range(greatest(len(p) - 1, 0)), lambda x: 0::int), r) as target_tokens, len(p)::int - (len(p) > 0)::int as n_masked, round(adv, 6) + 0.0::double as advantage from a""")
+def training_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Padded records of the groups with signal; a word's token is its length here."""
+    token = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\S+"), F.lit(0)), F.length)
+    rows = read_table(spark, sf, "samples").select("sample_id", "step", "problem_id", "sample_idx", "reward", token("prompt").alias("prompt_tokens"), token("response").alias("tokens")).dropDuplicates(["sample_id"])
+    d = G.datums(rows.withColumn("logprobs", F.transform("tokens", lambda x: F.lit(-0.5))), "sample_id")
+    masked = F.size("advantages") - F.size(F.filter("logprobs", lambda x: x != 0))
+    return d.select("sample_id", "input", "target_tokens", masked.alias("n_masked"), rounded(F.try_element_at("advantages", F.lit(-1))).alias("advantage"))
+
+
+@query(f"with {SAMPLES} select step, prompt, response, expected, predicted, reward, correct from s qualify row_number() over (partition by step order by sample_id) <= 10")
+def samples_table(spark: SparkSession, sf: str) -> DataFrame:
+    return T.samples_table(read_table(spark, sf, "samples").dropDuplicates(["sample_id"]), 10)
+
+
+SUMMARY = f"{VOTES}, v as (select run_id, first(answer order by n desc, f) as majority_answer, max(n) as top, sum(n)::bigint as n_valid_answers, count(*) as n_distinct from c where answer <> '' group by run_id)"
+
+
+@query(f"{SUMMARY} select run_id, majority_answer, round(top / n_valid_answers, 3) as agreement_rate, n_valid_answers, m.n_samples - n_valid_answers as n_empty, n_distinct from v join infer_runs m using (run_id)")
+def run_document_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summaries of run documents; of the distribution its number of answers."""
+    runs = read_table(spark, sf, "infer_runs")
+    documents = D.run_documents(runs, results(spark, sf), ["sample_idx", "answer", "error"])
+    return documents.where("summary is not null").select("run_id", "summary.*").withColumn("n_distinct", F.size("answer_distribution").cast("bigint")).drop("answer_distribution")
+
+
+@query(
+    f"""with {RESULTS}, k as (select m.run_id, m.n_samples, coalesce(p.reference, '') as reference from infer_runs m left join source_problems p using (source_id))
+    select k.run_id, count(result_id) as done, any_value(n_samples) as total, coalesce(sum((answer <> '' and answer = reference and reference <> '')::int), 0)::bigint as n_correct, coalesce(sum((answer <> '')::int), 0)::bigint as n_answered,
+    coalesce(sum((coalesce(error, '') <> '')::int), 0)::bigint as n_errors, coalesce(round(100.0::double * sum((answer <> '' and answer = reference and reference <> '')::int) / nullif(sum((answer <> '')::int), 0), 2), 0.0::double) as accuracy
+    from k left join r using (run_id) group by k.run_id"""
+)
+def repeat_progress(spark: SparkSession, sf: str) -> DataFrame:
+    reference = F.broadcast(read_table(spark, sf, "source_problems").select("source_id", "reference"))  # 60 rows, fixed
+    runs = read_table(spark, sf, "infer_runs").select("run_id", "source_id", "n_samples").join(reference, "source_id", "left").select("run_id", "n_samples", F.coalesce("reference", F.lit("")).alias("reference"))
+    return D.repeat_progress(results(spark, sf), runs)
+
+
+@query(
+    f"""with {SAMPLES}, j as (select p.problem_id, coalesce(p.source, '(none)') as source, coalesce(s.predicted, '') <> '' and {STRIP.format("regexp_replace(s.predicted, '\\\\text\\{{([^}}]*)\\}}', '\\1', 'g')")} = {STRIP.format('p.reference')} as ok, s.sample_id from problems p left join s using (problem_id)),
+    q as (select problem_id, source, coalesce(sum(coalesce(ok, false)::int), 0)::bigint as c, count(sample_id) as n from j group by all)
+    select source, count(*) as problems, sum((c > 0)::int)::bigint as any_correct, sum((c = n and n > 0)::int)::bigint as all_correct, sum(c)::bigint as n_correct, sum(n)::bigint as n_samples from q group by rollup(source)"""
+)
+def reaction_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of samples against their problems' references, compared as molecules, by source."""
+    problems = read_table(spark, sf, "problems").select(F.col("problem_id").alias("problem_idx"), "reference", "source")
+    answers = read_table(spark, sf, "samples").dropDuplicates(["sample_id"]).select(F.col("problem_id").alias("problem_idx"), "sample_idx", F.col("predicted").alias("answer"), F.lit(None).cast("double").alias("elapsed_s"))
+    return D.reaction_report(D.reaction_results(problems, answers), "source")
+
+
+@query(f"with {RESULTS} select result_id, coalesce(sample_idx, 0) as place, answer, null::double as reward from r union all by name select sample_id as result_id, coalesce(sample_idx, 0) as place, coalesce(predicted, '') as answer, reward from (select distinct sample_id, sample_idx, predicted, reward from samples)")
+def results_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Results and samples one after the other, by their sample index."""
+    place = F.coalesce("sample_idx", F.lit(0)).alias("place")
+    drawn = read_table(spark, sf, "samples").dropDuplicates(["sample_id"]).select(F.col("sample_id").alias("result_id"), place, F.coalesce("predicted", F.lit("")).alias("answer"), "reward")
+    both = D.extended(results(spark, sf).select("result_id", place, "answer"), drawn)
+    return D.in_order(both, "place", "result_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +51,17 @@ def read_jsonl(spark: SparkSession, path: str, skip_blank: bool = True) -> DataF
 def load_problems(spark: SparkSession, source: str | list[dict] | DataFrame, *, prompt_field: str = "prompt", reference_field: str = "reference", split: str = "train", limit: int | None = None, skip_blank: bool = True) -> DataFrame:
     """Problems (problem_id, prompt, reference, meta) from a list of rows, a DataFrame, or a .jsonl, .json, .csv or Parquet path.
 
-    Suffixes count as written. A missing reference is "", an explicit null of a JSON source "None". Other existing files are a ValueError, another type a
+    Suffixes count as written. A missing reference is "", a null one "None" (an explicit null of JSON, a null of a table, a field that a short CSV row lacks). Other existing files are a ValueError, another type a
     TypeError; a name that is no file stands for a hub dataset, which needs a network and is not available here.
     """
     if isinstance(source, DataFrame):
         cols = source.columns
         at = source.withColumn("at", F.monotonically_increasing_id())
-        get = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in cols else F.lit("")
+        kinds = dict(source.dtypes)
+        shown = lambda c: F.initcap(F.col(c).cast("string")) if kinds[c] == "boolean" else F.col(c).cast("string")
+        get = lambda c, null: F.coalesce(shown(c), F.lit(null)) if c in cols else F.lit("")
         rest = [x for c in cols if c not in (prompt_field, reference_field) for x in (F.lit(c), F.col(c).cast("string"))]
-        return _finish(at.select("at", get(prompt_field).alias("prompt"), get(reference_field).alias("reference"), (F.create_map(*rest) if rest else F.create_map().cast("map<string,string>")).alias("meta")), limit)
+        return _finish(at.select("at", get(prompt_field, "").alias("prompt"), get(reference_field, "None").alias("reference"), (F.create_map(*rest) if rest else F.create_map().cast("map<string,string>")).alias("meta")), limit)
     if isinstance(source, list):
         import json
 
@@ -76,7 +79,7 @@ def load_problems(spark: SparkSession, source: str | list[dict] | DataFrame, *,
         lines = whole.select(F.posexplode(F.col("v").cast("array<variant>")).alias("at", "v")).select("at", F.to_json("v").alias("value"))
         return _finish(_from_json_lines(lines, prompt_field, reference_field), limit)
     if path.endswith(".csv"):
-        return load_problems(spark, spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"'), prompt_field=prompt_field, reference_field=reference_field, limit=limit)
+        return load_problems(spark, read_csv(spark, path), prompt_field=prompt_field, reference_field=reference_field, limit=limit)
     if path.endswith(".parquet"):
         return load_problems(spark, spark.read.parquet(path), prompt_field=prompt_field, reference_field=reference_field, limit=limit)
     if _matches(spark, path):
@@ -84,13 +87,26 @@ def load_problems(spark: SparkSession, source: str | list[dict] | DataFrame, *,
     return load_hub(path, split)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, all texts; an empty field is "", only a field that a short row lacks is null."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    kinds = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = spark.read.options(**options, columnNameOfCorruptRecord="_short").schema(f"{kinds}, _short string").csv(path)
+    # Spark reads both as null, but keeps a short row's text: its fields are counted
+    held = F.size(F.split(F.regexp_replace("_short", r'"(?:[^"]|"")*"', ""), ","))
+    there = lambda i: F.col("_short").isNull() | (held > i)
+    return rows.select(*[F.when(there(i), F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n) for i, n in enumerate(names)])
+
+
 def load_hub(name: str, split: str) -> DataFrame:
     raise NotImplementedError(f"hub dataset {name!r} ({split}) needs a network; read a Parquet copy of it instead")
 
 
 def lookup_problem(problems: DataFrame, problem_id: int) -> DataFrame:
     """The problem of an id, the first in table order where ids repeat; LookupError without one."""
-    found = problems.where(F.col("problem_id") == problem_id).limit(1)
+    placed = problems.withColumn("_at", F.monotonically_increasing_id())
+    found = placed.where(F.col("problem_id") == problem_id).orderBy("_at").limit(1).drop("_at")
     if not found.head(1):
         raise LookupError(problem_id)
     return found
@@ -166,21 +182,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+#: key = value, the value in quotes to the matching one, or plain up to " #".
+_SETTING = re.compile(r"""\s*(?!\s|#)(?P<key>[^=]*?)\s*=\s*(?:"(?P<double>[^"]*).*|'(?P<single>[^']*).*|(?P<plain>(?:(?! \#).)*?)\s*(?: \#.*)?)""")
+
+
 def read_env(text: str, existing: dict[str, str] | None = None) -> dict[str, str]:
-    """Settings of an env file's text: quoted values to the matching quote, others up to " #"; settings that exist win."""
-    out = dict(existing or {})
-    for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#") or "=" not in line:
-            continue
-        key, _, value = line.partition("=")
-        value = value.strip()
-        if value[:1] in ('"', "'"):
-            value = value[1:].partition(value[0])[0]
-        else:
-            value = value.partition(" #")[0].strip()
-        out.setdefault(key.strip(), value)
-    return out
+    """Settings of an env file's text: quoted values to the matching quote, others up to " #"; settings that exist win, and of several for one key the first."""
+    found = filter(None, map(_SETTING.fullmatch, text.splitlines()))
+    settings = {m["key"]: next(v for v in m.group("double", "single", "plain") if v is not None) for m in reversed(list(found))}
+    return settings | (existing or {})
 
 
 def first_setting(argument: str | None, variable: str | None, otherwise: str | None) -> str | None:

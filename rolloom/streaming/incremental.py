@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolloom.operators.evaluate import remaining
-from rolloom.session import shared_dir
+from rolloom.session import Store
 
 
 def evaluate_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str | None = None) -> StreamingQuery:
     """Score what has arrived in micro-batches and write each to its own folder of `out`.
 
-    A batch that is run again after a restart overwrites its own folder, so each sample is counted once.
+    A batch that is run again after a restart overwrites its own folder, so each sample is counted once. Without a `checkpoint` folder the stream keeps its place beside its
+    output, in `out`_place, where a later session finds it.
     """
-    where = checkpoint or f"{shared_dir(stream.sparkSession)}/rolloom-stream-{abs(hash(out))}"
+    where = checkpoint or f"{out.rstrip('/')}_place"
     write = lambda df, i: score(df).write.mode("overwrite").parquet(f"{out}/batch={i}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", where).trigger(availableNow=True).start()
 
@@ -31,11 +32,7 @@ def progress(spark: SparkSession, out: str) -> DataFrame:
 
 def resume(todo: DataFrame, out: str, key: str) -> DataFrame:
     """What isn't in the output yet; all where there is no output."""
-    spark = todo.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return todo
-    return remaining(todo, spark.read.parquet(out), key)
+    return remaining(todo, todo.sparkSession.read.parquet(out), key) if Store(todo.sparkSession).exists(out) else todo
 
 
 def tail_metrics(spark: SparkSession, folder: str) -> DataFrame:

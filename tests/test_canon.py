@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rolloom.functions.canon import canonical_answer, canonical_text, no_answer
+from rolloom.functions.canon import answer_content, canonical_answer, canonical_text, no_answer
 
 SAME = [
     ["55495", " 55,495.", "$55 495$", "55{,}495", "**55495**", "“55495”", r"\boxed{55495}", "５５４９５"],
@@ -46,3 +46,10 @@ def test_texts(spark):
 @pytest.mark.parametrize("value,want", [(" " * 500, True), ("\n" * 90, True), ("-" * 4000, True), ("N/A" + " \t" * 300, True), ("." * 100 + "none" + "." * 100, True), ("- 5 " + "-" * 200, False), ("word and " * 20, False), ("x" * 81, False)])
 def test_no_answer_of_any_length(spark, value, want):
     assert spark.createDataFrame([(value,)], "v string").select(no_answer(F.col("v"))).head()[0] == want
+
+
+def test_content_of_answers(spark):
+    values = [None, "", " \t", "N/A", "--", "0", " 1,234. ", "no solution", "x" * 200, "-" * 200, "N/A" + " " * 200, "é 5"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select(answer_content(F.col("v")).alias("a"), F.when(~no_answer(F.col("v")), F.nullif(canonical_answer(F.col("v")), F.lit(""))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and got[6].a == "1234" and got[10].a is None
