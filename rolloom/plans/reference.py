@@ -495,7 +495,7 @@ def metrics_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {SAMPLES}, t as (select *, list_transform(regexp_extract_all(coalesce(prompt, ''), '\\S+'), lambda x: length(x)::int) as p, list_transform(regexp_extract_all(coalesce(response, ''), '\\S+'), lambda x: length(x)::int) as r from s),
     a as (select *, reward - avg(reward) over w as adv from t window w as (partition by step, problem_id) qualify min(reward) over w <> max(reward) over w)
-    select sample_id, list_concat(p, r[:-2]) as input, list_concat(list_transform(range(greatest(len(p) - 1, 0)), lambda x: 0::int), r) as target_tokens, len(p)::int - (len(p) > 0)::int as n_masked, round(adv, 6) + 0.0::double as advantage from a""")
+    select sample_id, list_concat(p, r[:-2]) as input, list_concat(list_transform(range(greatest(len(p) - 1, 0)), lambda x: 0::int), r) as target_tokens, len(p)::int - (len(p) > 0)::int as n_masked, case when len(r) > 0 then round(adv, 6) + 0.0::double when len(p) > 1 then 0.0::double end as advantage from a""")
 def training_records(spark: SparkSession, sf: str) -> DataFrame:
     """Padded records of the groups with signal; a word's token is its length here."""
     token = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\S+"), F.lit(0)), F.length)
