@@ -2,8 +2,9 @@
 
 Each prompt is reduced to canonical hashes after case, punctuation and whitespace normalisation: one of all its words, and one of its
 quantities (the numbers in canonical writing, as a multiset, without those of standard instructions). Two prompts that state the same problem have
-the same quantities, so joining the hashes of evaluation prompts with those of training prompts meets every such pair;
-the wording is then compared word for word. Prompts with fewer than three quantities are joined on band keys of their words instead.
+the same quantities, so hashes that stand on one side only are left out. Many different prompts may have the same quantities (none, or 1, 2, 3), so those
+left are joined on hashes of the quantities with a band of their words (minima of hashed words), and the wording is then compared word for word. Texts with the
+same words share all bands, those alike at 0.7 a band but for a probability of 0.001, those from 0.8 but for 1e-7.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.canon import canonical_answer, fold, let, no_answer
 from rolloom.functions.words import Hasher, MinHash, occurrences, plain, set_key, words
-from rolloom.operators.skew import pairs_in_blocks
-from rolloom.session import cut
+from rolloom.operators.skew import lookup, pairs_in_blocks
+from rolloom.session import cut, release
 
 #: A sentence is a standard instruction when it closes more than this share of the distinct prompts, and more than LEAST different ones.
 SHARE, LEAST = 0.002, 5
 #: Same wording: shared words over all words of both statements.
 SHARED, OF = 7, 10
-#: Fewer quantities than this don't identify a problem.
-FEW = 3
 BANDS, ROWS = 40, 5
 _END, _LINE = re.compile(r"(?<=[.!?;:。])\s+"), re.compile(r"\n+")
 
@@ -55,7 +54,7 @@ def instructions(texts: DataFrame, share: float = SHARE, least: int = LEAST) ->
     """
     distinct = texts.select("text").where("text is not null").distinct()
     sentences = F.filter(F.transform(F.split(F.regexp_replace("text", r"\s+", " "), r"(?<=[.!?;:。]) "), sentence_words), lambda s: s != "")
-    left = cut(distinct.select(sentences.alias("s")), "sentences")
+    left = whole = cut(distinct.select(sentences.alias("s")), "sentences")
     total, known = left.count(), []
     while True:
         if known:
@@ -64,6 +63,7 @@ def instructions(texts: DataFrame, share: float = SHARE, least: int = LEAST) ->
         groups = ends.where("length(end) >= 12").groupBy("end", "rest").agg(F.count(F.lit(1)).alias("m")).groupBy("end").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares"))
         found = [r[0] for r in groups.where((F.col("n") > least) & (F.col("n") > total * share) & (F.col("n") * F.col("n") > least * F.col("squares"))).select("end").collect()]
         if not found:
+            release(whole)
             return known
         known += found
 
@@ -88,7 +88,7 @@ def canonical_numbers(text: str) -> str:
 
 def numbers(many: list[str]) -> list[str]:
     """The words with digits, sorted."""
-    return sorted(w for w in many if any(c.isdigit() for c in w))
+    return sorted(w for w in many if not w.isalpha() and any(c.isdigit() for c in w))
 
 
 class Statement:
@@ -107,31 +107,29 @@ class Statement:
         self.cache: dict[str, bool] = {}
 
     def overlap(self, w: list[str], i: int) -> float:
-        """Shared words of `w` and the i-th instruction over all words of both; 0 where their numbers differ."""
-        w = [bare(x) for x in w]
-        if numbers(w) != self.numbers[i]:
-            return 0.0
+        """Shared words of `w` (without accents) and the i-th instruction over all words of both; 0 where that is too little or their numbers differ."""
         s = frozenset(w)
         n = len(s & self.sets[i])
-        return n / (len(s) + len(self.sets[i]) - n)
+        all_words = len(s) + len(self.sets[i]) - n
+        return n / all_words if n >= self.alike * all_words and numbers(w) == self.numbers[i] else 0.0
 
     def is_known(self, w: list[str]) -> bool:
-        w = [bare(x) for x in w]
-        s = frozenset(w)
-        if len(s) < 3 or len(w) > 60:
-            return False
         key = " ".join(w)
         hit = self.cache.get(key)
         if hit is None:
+            w = [bare(x) for x in w]
+            s = frozenset(w)
             shared: dict[int, int] = {}
-            for x in s:
-                for i in self.index.get(x, ()):
-                    shared[i] = shared.get(i, 0) + 1
-            own = numbers(w)
+            if len(s) >= 3:
+                for x in s:
+                    for i in self.index.get(x, ()):
+                        shared[i] = shared.get(i, 0) + 1
+            own = numbers(w) if shared else []
             hit = any(n >= self.alike * (len(s) + len(self.sets[i]) - n) and own == self.numbers[i] for i, n in shared.items())
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            self.cache[key] = hit
+            if len(key) <= 400:  # long ones would fill the memory
+                self.cache[key] = hit
         return hit
 
     def __call__(self, text: str) -> list[str]:
@@ -148,8 +146,9 @@ class Statement:
         else:
             parts = [w for w in parts if not self.is_known(w)]
         out = [x for w in parts for x in w]
+        plain_words = [bare(x) for x in out]
         while True:  # instructions at the end of a text without full stops: the one that fits best
-            fits = [(self.overlap(out[-len(k) :], i), len(k)) for i, k in enumerate(self.known) if len(out) > len(k)]
+            fits = [(self.overlap(plain_words[len(out) - len(k) : len(out)], i), len(k)) for i, k in enumerate(self.known) if len(out) > len(k)]
             best = max(fits, default=(0.0, 0))
             if best[0] < self.alike:
                 break
@@ -157,15 +156,15 @@ class Statement:
         return out
 
 
-_SCHEMA = "rec_id bigint, side string, ref string, text_key bigint, few boolean, quantities bigint, bands array<bigint>, tokens array<bigint>"
+_SCHEMA = "rec_id bigint, side string, ref string, text_key bigint, quantities bigint, bands array<bigint>, tokens array<bigint>"
 
 
 def describe(rows: DataFrame, known: list[str]) -> DataFrame:
-    """Hashes of each row (rec_id, side, ref, text)."""
+    """Hashes of each row (rec_id, side, ref, text). The bands hold the quantities too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, minhash, own = Hasher(), MinHash(BANDS, ROWS), Statement([canonical_numbers(k) for k in known])
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             out: list[list] = [[] for _ in types]
             for rec, side, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -174,12 +173,10 @@ def describe(rows: DataFrame, known: list[str]) -> DataFrame:
                 if not w:
                     continue
                 tokens = occurrences(hasher(w))
-                amounts = numbers(w)
-                few = len(amounts) < FEW
-                quantities = set_key(occurrences(hasher(amounts)))
-                for col, x in zip(out, (rec, side, ref, set_key(tokens), few, quantities, minhash(tokens) if few else np.zeros(0, np.int64), tokens.view(np.int64))):
+                quantities = set_key(occurrences(hasher(numbers(w))))
+                for col, x in zip(out, (rec, side, ref, set_key(tokens), quantities, minhash(tokens) ^ np.int64(quantities), tokens.view(np.int64))):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=["rec_id", "side", "ref", "text_key", "few", "quantities", "bands", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
     return rows.select("rec_id", "side", "ref", "text").mapInArrow(run, _SCHEMA)
 
@@ -190,40 +187,51 @@ def reference_value(reference: Column) -> Column:
     return F.when(~no_answer(value), F.nullif(canonical_answer(value), F.lit("")))
 
 
-def overlaps(problems: DataFrame) -> DataFrame:
-    """(train_id, eval_id) for every problem of the training split that another split states too.
+_CLASS = ["side", "text_key", "quantities"]
 
-    `problems` has problem_id, prompt, reference and split. Null or blank splits belong to neither side; null, blank and wordless prompts have
-    no pair. The pair's quantities are equal, its words alike up to small edits, and its references equal where both sides have one.
-    Repeated rows of one id count once.
-    """
+
+def classes(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(side, rec_id, ref, rep) of each problem with words in training (side t) or another split (e), rep being the smallest id of its side with the same words and quantities;
+    and (e, t), the pairs of representatives that state the same problem."""
     name = split_name(F.col("split"))
     rows = problems.where(name.isNotNull() & F.col("prompt").isNotNull()).select(
         F.col("problem_id").alias("rec_id"), F.when(name == "train", "t").otherwise("e").alias("side"), reference_value(F.col("reference")).alias("ref"), F.col("prompt").alias("text")
     )
-    rows = cut(rows.dropDuplicates(["rec_id"]), "rows")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    table = cut(describe(rows.repartition(parts, "rec_id"), instructions(rows)), "hashes")
-
-    # one representative for each side, text and reference
-    group = ["side", "text_key", "few", "quantities"]
-    reps = cut(table.groupBy(*group).agg(F.min(F.struct("rec_id", "bands", "tokens")).alias("r")).select(*group, F.col("r.rec_id").alias("rep"), "r.bands", "r.tokens"), "reps")
-    keys = F.when(F.col("few"), F.col("bands")).otherwise(F.array(F.col("quantities")))
-    keyed = reps.select("side", F.col("rep"), F.explode(keys).alias("key"))
-    left, right = keyed.where("side = 'e'").select("key", F.col("rep").alias("e")), keyed.where("side = 't'").select("key", F.col("rep").alias("t"))
-    met = pairs_in_blocks(left, right, "key").select("e", "t").distinct()
+    table = cut(describe(rows.dropDuplicates(["rec_id"]), instructions(rows)), "hashes")
+    members = table.join(table.groupBy(*_CLASS).agg(F.min("rec_id").alias("rep")), _CLASS).select("side", "rec_id", "ref", "rep")
+    members = cut(members, "members")
+    # texts whose quantities stand on the other side too
+    sides = table.groupBy("quantities").agg(F.count_distinct("side").alias("n")).where("n = 2").select("quantities")
+    firsts = members.where("rec_id = rep").select("rec_id")
+    reps = cut(table.join(sides, "quantities", "left_semi").join(firsts, "rec_id", "left_semi").select("side", F.col("rec_id").alias("rep"), "quantities", "bands", "tokens"), "reps")
+    release(table)
+    keyed = lambda s: reps.where(F.col("side") == s).select(F.explode("bands").alias("key"), F.col("rep").alias(s))
+    met = pairs_in_blocks(keyed("e"), keyed("t"), "key").select("e", "t").distinct()
     of = lambda s: reps.select(F.col("rep").alias(s), F.col("tokens").alias(f"w{s}"), F.col("quantities").alias(f"q{s}"))
     both = F.size(F.array_intersect("we", "wt"))
     alike = both * OF >= SHARED * (F.size("we") + F.size("wt") - both)
     same = cut(met.join(of("e"), "e").join(of("t"), "t").where((F.col("qe") == F.col("qt")) & alike).select("e", "t"), "same")
+    release(reps)
+    return members, same
+
+
+def _agree() -> Column:
+    return F.col("eval_ref").isNull() | F.col("train_ref").isNull() | (F.col("eval_ref") == F.col("train_ref"))
 
-    # back to the records: texts of a class on either side, spread over blocks
-    members = table.join(reps.select(*group, "rep"), group).select("rep", "rec_id", "ref")
-    evals = members.select(F.col("rep").alias("e"), F.col("rec_id").alias("eval_id"), F.col("ref").alias("eval_ref"))
-    trains = members.select(F.col("rep").alias("t"), F.col("rec_id").alias("train_id"), F.col("ref").alias("train_ref"))
+
+def overlaps(problems: DataFrame) -> DataFrame:
+    """(train_id, eval_id) for every problem of the training split that another split states too.
+
+    `problems` has problem_id, prompt, reference and split. Null or blank splits belong to neither side; null, blank and wordless prompts have
+    no pair. The pair's quantities are equal, its words alike up to small edits, and its references equal where both sides have one.
+    Repeated rows of one id count once. The texts of a class on either side are spread over blocks.
+    """
+    members, same = classes(problems)
+    evals = members.where("side = 'e'").select(F.col("rep").alias("e"), F.col("rec_id").alias("eval_id"), F.col("ref").alias("eval_ref"))
+    trains = members.where("side = 't'").select(F.col("rep").alias("t"), F.col("rec_id").alias("train_id"), F.col("ref").alias("train_ref"))
     found = pairs_in_blocks(evals, same, "e").drop("e")
     found = pairs_in_blocks(found, trains, "t")
-    return found.where(F.col("eval_ref").isNull() | F.col("train_ref").isNull() | (F.col("eval_ref") == F.col("train_ref"))).select("train_id", "eval_id")
+    return found.where(_agree()).select("train_id", "eval_id")
 
 
 def overlap_pairs(problems: DataFrame) -> DataFrame:
@@ -232,7 +240,18 @@ def overlap_pairs(problems: DataFrame) -> DataFrame:
 
 
 def overlap_report(problems: DataFrame) -> DataFrame:
-    """For each split and source of evaluation problems: problems, and how many of them the training split states too, with the number of pairs."""
-    pairs = overlaps(problems).groupBy(F.col("eval_id").alias("problem_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    """(split, source, problems, leaked, pairs): for each split and source of evaluation problems how many there are, how many of them the training split states too, and the number of pairs.
+
+    Pairs are counted by classes of the same words, quantities and reference, and never formed. A null source is the source "(none)".
+    """
+    members, same = classes(problems)
+    trains = members.where("side = 't'").groupBy(F.col("rep").alias("t"), F.col("ref").alias("train_ref")).agg(F.count(F.lit(1)).alias("n"))
+    evals = members.where("side = 'e'").select(F.col("rec_id").alias("problem_id"), F.col("rep").alias("e"), F.col("ref").alias("eval_ref"))
+    kinds = evals.select("e", "eval_ref").distinct()
+    partners = kinds.join(same, "e").join(trains, "t").where(_agree()).groupBy("e", "eval_ref").agg(F.sum("n").alias("pairs"))
     rows = problems.select("problem_id", split_name(F.col("split")).alias("split"), F.coalesce("source", F.lit("(none)")).alias("source")).dropDuplicates(["problem_id"]).where("split is not null and split <> 'train'")
-    return rows.join(pairs, "problem_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("problems"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    # a hot class of evaluation problems is spread over blocks
+    kind = lambda df: df.withColumn("kind", F.xxhash64("e", F.coalesce(F.concat(F.lit("+"), "eval_ref"), F.lit("-")))).drop("e", "eval_ref")
+    sizes = kind(evals).groupBy("kind").agg(F.count(F.lit(1)).alias("_n")).join(kind(partners), "kind")
+    found = lookup(kind(evals), "kind", sizes, "_n").select("problem_id", "pairs")
+    return rows.join(found, "problem_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("problems"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
