@@ -31,21 +31,18 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf)
 
 
-def _ledgers(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame, ledger.Ledger]]:
-    return [
-        ("results", *ledger.build(ledger.answer_records(read_table(spark, sf, "results")))),
-        ("generated_problems", *ledger.build(ledger.problem_records(read_table(spark, sf, "generated_problems")))),
-    ]
+def _ledgers(spark: SparkSession, sf: str) -> list[tuple[str, ledger.Ledger]]:
+    return [("results", ledger.build(read_table(spark, sf, "results"), "received_at", ledger.answer_records)), ("generated_problems", ledger.build(read_table(spark, sf, "generated_problems"), "ingested_at", ledger.problem_records))]
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [ledger.copies(records, book).select(F.lit(tbl).alias("tbl"), "first_id", "copy_id") for tbl, records, book in _ledgers(spark, sf)]
+    parts = [ledger.copies(book).select(F.lit(tbl).alias("tbl"), "first_id", "copy_id") for tbl, book in _ledgers(spark, sf)]
     return parts[0].unionByName(parts[1])
 
 
 def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct record once, with its number of copies."""
-    parts = [ledger.collapsed(book).select(F.lit(tbl).alias("tbl"), "first_id", "copies") for tbl, _, book in _ledgers(spark, sf)]
+    parts = [ledger.collapsed(book).select(F.lit(tbl).alias("tbl"), "first_id", "copies") for tbl, book in _ledgers(spark, sf)]
     return parts[0].unionByName(parts[1])
 
 
