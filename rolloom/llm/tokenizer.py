@@ -245,8 +245,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text's ids. Null and empty texts have none."""
         given = ["" if t is None else t for t in texts]
-        if any(self.END_MARK in t for t in given):  # a text that holds the end mark itself goes by its parts
-            return self._one_by_one(given)
+        marked = [i for i, t in enumerate(given) if self.END_MARK in t]
+        if marked:  # texts that hold the end mark themselves go by their parts
+            return self._with_marked(given, marked)
         if not given:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         whole = self.END_MARK.join(given) + self.END_MARK
@@ -272,14 +273,23 @@ class Encoder:
         offsets[1:] = after[codes[starts] == 0x10FFFF]
         return flat, offsets
 
+    def _with_marked(self, texts: list[str], marked: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        held = set(marked)
+        rest, at = self.encode(["" if i in held else t for i, t in enumerate(texts)])
+        own, own_at = self._one_by_one([texts[i] for i in marked])
+        place = {i: k for k, i in enumerate(marked)}
+        parts = [own[own_at[place[i]] : own_at[place[i] + 1]] if i in held else rest[at[i] : at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)], dtype=np.int64)
+
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[np.ndarray] = []
         for t in texts:
             # U+10FFFF is of class OTHER; a private character of the same class takes its place for the scan only
             codes = t.replace(self.END_MARK, "\U0010fffe")
             cuts = [int(x) for x in self.scanner.bounds(codes)] if t else []
-            ids = [x for a, b in zip(cuts, [*cuts[1:], len(t)]) for x in self.piece(t[a:b])]
-            parts.append(np.array(ids, dtype=np.int32))
+            pieces = [t[a:b] for a, b in zip(cuts, [*cuts[1:], len(t)])]
+            known = self._known(p for p in pieces if p != self.END_MARK)
+            parts.append(np.array([x for p in pieces for x in (self.piece(p) if p == self.END_MARK else known[p])], dtype=np.int32))
         offsets = np.cumsum([0, *map(len, parts)], dtype=np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), offsets
 
@@ -293,6 +303,12 @@ class Encoder:
         return b"".join(self.bytes_of[int(i)] for i in ids).decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker process: read once, not for every task."""
+    return Encoder(path)
+
+
 def encode_table(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY, batch_chars: int = 1 << 20) -> DataFrame:
     """(id, ids ARRAY<INT>) for each row: the ids of its text by the vocabulary file `path`, which every executor must find there.
 
@@ -301,7 +317,7 @@ def encode_table(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
