@@ -11,6 +11,7 @@ _HOMES = {
     "rolloom.sources.sinks": ("append_metrics", "write_document", "write_documents", "write_array", "write_dual", "write_split"),
     "rolloom.sources.providers": ("CompletionProvider", "TableProvider", "answers_or_ask", "complete"),
     "rolloom.functions.rewards": ("Reward", "answer_tag_format_bonus", "answer_tag_match", "boxed_format_bonus", "boxed_match", "combined", "contains_reference", "exact_match", "length_penalty", "regex_match", "smiles_match"),
+    "rolloom.functions.tokens": ("decoded", "rendered", "token_ids"),
     "rolloom.operators.trainer": ("Config", "MetricsLog", "Trainer", "samples_table"),
     "rolloom.operators.documents": ("reaction_report", "reaction_results", "repeat_documents", "run_documents"),
     "rolloom.operators.grpo": ("advantages", "batches", "datums", "step_metrics", "with_signal"),

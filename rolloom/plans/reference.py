@@ -19,6 +19,7 @@ from rolloom.operators import evaluate as E
 from rolloom.operators import grpo as G
 from rolloom.operators import trainer as T
 from rolloom.session import read_table
+from rolloom.sources import loaders as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,6 +313,15 @@ def _reward(name: str, reward: R.Reward, sql: str | None) -> None:
     query(f"{REWARD} select sample_id, ({sql})::double as reward from y" if sql else None)(run)
 
 
+@query(f"""with {SAMPLES}, {BOXED}, y as (select x.sample_id, x.boxed, coalesce(p.reference, '') as ref from x join s on s.sample_id = x.sample_id join problems p on p.problem_id = s.problem_id)
+    select sample_id, case when coalesce({number_sql('boxed')} = {HASHES}, false) then 1.0::double else 0.0::double end as reward from y""")
+def reward_of_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxed answers against the references of their problems; the answers are drawn out before the join, so that it moves no texts."""
+    drawn = read_table(spark, sf, "samples").select("sample_id", "problem_id", X.normal_number(X.boxed(F.col("response"))).alias("box")).dropDuplicates(["sample_id"])
+    wanted = read_table(spark, sf, "problems").select("problem_id", X.after_hashes(X.normal_number(F.coalesce("reference", F.lit("")))).alias("want"))
+    return drawn.join(wanted, "problem_id").select("sample_id", F.coalesce(F.col("box") == F.col("want"), F.lit(False)).cast("double").alias("reward"))
+
+
 WORDS = "len(regexp_extract_all(resp, '[^\\s%s]+'))" % SPACES
 SQL_BOXED = f"case when coalesce({number_sql('boxed')} = {HASHES}, false) then 1.0 else 0.0 end"
 _reward("reward_exact", R.exact_match, f"case when {REF} <> '' and contains({number_sql('resp')}, {REF}) then 1.0 else 0.0 end")
@@ -552,3 +562,61 @@ def results_in_order(spark: SparkSession, sf: str) -> DataFrame:
     drawn = read_table(spark, sf, "samples").dropDuplicates(["sample_id"]).select(F.col("sample_id").alias("result_id"), place, F.coalesce("predicted", F.lit("")).alias("answer"), "reward")
     both = D.extended(results(spark, sf).select("result_id", place, "answer"), drawn)
     return D.in_order(both, "place", "result_id")
+
+
+# ---- sources and small functions
+
+
+@query("select prompt, coalesce(reference, 'None') as reference, element_at(meta, 'level')[1] as level_in_meta from (select prompt, reference, meta from problems) where prompt <> ''")
+def load_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Problems loaded from a table; other columns become entries of meta."""
+    table = read_table(spark, sf, "problems").select("prompt", "reference", F.try_element_at("meta", F.lit("level")).alias("level"))
+    return L.load_problems(spark, table).select("prompt", "reference", F.element_at("meta", "level").alias("level_in_meta"))
+
+
+@query("select problem_id, prompt, coalesce(reference, '') as reference, coalesce(element_at(meta, 'level')[1], '') as level from problems where problem_id = (select min(problem_id) from problems)")
+def problem_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One problem by its id, with an entry of its meta."""
+    p = read_table(spark, sf, "problems").withColumns({"reference": F.coalesce("reference", F.lit("")), "meta": F.map_concat(F.create_map(F.lit("level"), F.coalesce(F.try_element_at("meta", F.lit("level")), F.lit(""))))})
+    first = p.agg(F.min("problem_id")).head()[0]
+    return L.lookup_problem(p, first).select("problem_id", *[L.field(k).alias(k) for k in ("prompt", "reference", "level")])
+
+
+@query(f"select gen_id, {STRIP.format('problem')} as block from generated_problems where {STRIP.format('problem')} <> ''")
+def extract_problem_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The first block between START and END lines, with an empty one before and another behind it."""
+    text = F.concat(F.lit("x\n=== PROBLEM START ===\n\n=== PROBLEM END ===\n===  PROBLEM  START===\n"), "problem", F.lit("\n=== PROBLEM END ===\n=== PROBLEM START ===\nno\n=== PROBLEM END ==="))
+    return read_table(spark, sf, "generated_problems").where(X.strip(F.col("problem")) != "").select("gen_id", X.problem_block(text).alias("block"))
+
+
+@query(f"with {RESULTS} select result_id, " + STRIP.format("replace(regexp_replace(" + STRIP.format("answer") + ", '\\\\(?:text|texttt|textbf|mathrm|mathtt)\\{([^}]*)\\}', '\\1', 'g'), '\\,', '')") + " as answer from r")
+def strip_latex(spark: SparkSession, sf: str) -> DataFrame:
+    return of_results(spark, sf, X.strip_latex)
+
+
+@query(f"with {RESULTS} select result_id, regexp_replace(answer, '\\\\text\\{{([^}}]*)\\}}', '\\1', 'g') as answer from r")
+def text_only(spark: SparkSession, sf: str) -> DataFrame:
+    return of_results(spark, sf, X.text_only)
+
+
+@query("select problem_id, case when prompt is null then coalesce(reference, '') else prompt || chr(10) || coalesce(reference, '') end as joined, coalesce(prompt, coalesce(reference, '')) as first from problems")
+def content_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts among typed parts, joined and the first of them; a null prompt is an image here."""
+    part = lambda c: F.struct(F.when(c.isNull(), "image").otherwise("text").alias("type"), c.alias("text"))
+    parts = F.array(part(F.col("prompt")), part(F.coalesce("reference", F.lit(""))))
+    return read_table(spark, sf, "problems").select("problem_id", H.text_parts(parts).alias("joined"), H.first_text(parts).alias("first"))
+
+
+@query(f"with {RESULTS} select result_id, case when coalesce(error, '') <> '' then error || chr(10) || chr(10) || answer else answer end as whole, nullif(length(error), 0)::int as hidden from r")
+def hidden_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """A hidden part (the error's text here) before the answer, with its length."""
+    rows = read_table(spark, sf, "results").select("result_id", F.coalesce("answer", F.lit("")).alias("answer"), "error")
+    return rows.select("result_id", H.with_hidden(F.col("error"), F.col("answer")).alias("whole"), H.hidden_length(F.col("error")).alias("hidden")).dropDuplicates(["result_id"])
+
+
+@query("select gen_id, format('{:.1f}%', round(agreement_rate * 1000) / 10) as shown from generated_problems where agreement_rate is not null and abs(agreement_rate * 1000 - floor(agreement_rate * 1000) - 0.5) > 0.001")
+def percent_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates as percent with one digit; exact halves are left out, since they round by the last bit of a double."""
+    tenth = F.col("agreement_rate") * 1000
+    rows = read_table(spark, sf, "generated_problems").where(F.col("agreement_rate").isNotNull() & (F.abs(tenth - F.floor(tenth) - 0.5) > 0.001))
+    return rows.select("gen_id", H.percent(F.col("agreement_rate")).alias("shown"))

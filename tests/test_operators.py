@@ -269,6 +269,19 @@ def test_small_helpers(spark):
     assert [tuple(r) for r in D.in_order(mixed, "i").collect()] == [(None, None, 2.0), (1, "a", None)]
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no tokenizer files here")
+def test_prompts_as_tokens_and_back(spark):
+    texts = ["It's a   test: ½ √2, naïve 日本語", "", None, "a\n\nb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("ids", rolloom.token_ids(F.col("t"), VOCABULARY))
+    got = df.select("i", "ids", rolloom.decoded(F.col("ids"), VOCABULARY).alias("back")).orderBy("i").collect()
+    assert [r.back for r in got] == [t or "" for t in texts] and got[1].ids == got[2].ids == []
+    talk = spark.range(1).select(rolloom.rendered(H.messages(F.lit("Hi"), system="Be brief."), VOCABULARY).alias("r")).select("r.*", rolloom.decoded(F.col("r.ids"), VOCABULARY).alias("back")).head()
+    assert talk.back == talk.text and talk.text.endswith("<|start|>assistant")
+
+
 SECOND = """
 import sys
 from pyspark.sql import SparkSession, functions as F
