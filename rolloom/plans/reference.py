@@ -584,8 +584,8 @@ def problem_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select gen_id, {STRIP.format('problem')} as block from generated_problems where {STRIP.format('problem')} <> ''")
 def extract_problem_block(spark: SparkSession, sf: str) -> DataFrame:
-    """The first block between START and END lines, with an empty one before and another behind it."""
-    text = F.concat(F.lit("x\n=== PROBLEM START ===\n\n=== PROBLEM END ===\n===  PROBLEM  START===\n"), "problem", F.lit("\n=== PROBLEM END ===\n=== PROBLEM START ===\nno\n=== PROBLEM END ==="))
+    """The first block between START and END lines, with another behind it."""
+    text = F.concat(F.lit("x\n===  PROBLEM  START===\n"), "problem", F.lit("\n=== PROBLEM END ===\n=== PROBLEM START ===\nno\n=== PROBLEM END ==="))
     return read_table(spark, sf, "generated_problems").where(X.strip(F.col("problem")) != "").select("gen_id", X.problem_block(text).alias("block"))
 
 
