@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -38,19 +37,20 @@ class Hasher:
         self.cache: dict[str, int] = {}
         self.most = most
 
-    def __call__(self, many: Iterable[str]) -> np.ndarray:
-        cache, out = self.cache, []
-        for w in many:
-            h = cache.get(w)
-            if h is None:
-                if len(cache) >= self.most:
-                    cache.clear()
-                h = xxhash.xxh64_intdigest(w) & ~1 | (not w.isalpha() and any(c.isdigit() for c in w))
-                if len(w) <= 64:
-                    cache[w] = h
-            out.append(h)
+    def __call__(self, many: list[str]) -> np.ndarray:
+        out = list(map(self.cache.get, many))
+        if None in out:
+            out = [self._hash(w) if h is None else h for w, h in zip(many, out)]
         return np.array(out, dtype=np.uint64)
 
+    def _hash(self, w: str) -> int:
+        h = xxhash.xxh64_intdigest(w) & ~1 | (not w.isalpha() and any(c.isdigit() for c in w))
+        if len(w) <= 64:
+            if len(self.cache) >= self.most:
+                self.cache.clear()
+            self.cache[w] = h
+        return h
+
 
 def without_digits(hashes: np.ndarray) -> np.ndarray:
     """The hashes of words without digits."""
@@ -70,7 +70,7 @@ def occurrences(hashes: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-    return np.unique(x)
+    return np.sort(x)
 
 
 def set_key(tokens: np.ndarray) -> int:
