@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.functions.canon import canonical_answer, fold, let, no_answer
-from rolloom.functions.words import Hasher, MinHash, occurrences, plain, set_key, words
+from rolloom.functions.words import WORD, Hasher, MinHash, occurrences, plain, set_key, words
 from rolloom.operators.skew import lookup, pairs_in_blocks
 from rolloom.session import cut, release
 
@@ -73,9 +74,10 @@ def bare(word: str) -> str:
     return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
-#: Digit groups of three, parted by a comma, apostrophe, underscore, blank or LaTeX's {,} and \\, ; not the components of a bracketed list.
-_GROUPS = re.compile(r"(?<![\w.,(\[{])(?<!\d[ '’])([1-9]\d{0,2})((?:\{,\}|\\,|[,'’_ ])\d{3})+(?!\w)(?![,'’ ]\d{3}(?!\d))(?![)\]}])")
-_BETWEEN = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)")
+#: Digit groups of three, parted by a comma, apostrophe, underscore, blank or LaTeX's {,} and \\, ; not the components of a bracketed list. What stands before is looked at from behind the first digit, since
+#: digits are few.
+_GROUPS = re.compile(r"[1-9](?<![\w.,(\[{].)(?<!\d[ '’].)\d{0,2}(?:(?:\{,\}|\\,|[,'’_ ])\d{3})+(?!\w)(?![,'’ ]\d{3}(?!\d))(?![)\]}])")
+_BEHIND_LETTER, _BEFORE_LETTER = re.compile(r"\d(?<=[^\W\d_]\d)"), re.compile(r"\d(?=[^\W\d_])")
 
 
 def canonical_numbers(text: str) -> str:
@@ -83,7 +85,8 @@ def canonical_numbers(text: str) -> str:
     text = plain(text)
     if not text.isascii():
         text = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
-    return _BETWEEN.sub(" ", _GROUPS.sub(lambda m: "".join(c for c in m[0] if c.isdigit()), text))
+    text = _GROUPS.sub(lambda m: "".join(c for c in m[0] if c.isdigit()), text)
+    return _BEFORE_LETTER.sub(r"\g<0> ", _BEHIND_LETTER.sub(r" \g<0>", text))
 
 
 def numbers(many: list[str]) -> list[str]:
@@ -117,7 +120,7 @@ class Statement:
         key = " ".join(w)
         hit = self.cache.get(key)
         if hit is None:
-            w = [bare(x) for x in w]
+            w = w if key.isascii() else [bare(x) for x in w]
             s = frozenset(w)
             shared: dict[int, int] = {}
             if len(s) >= 3:
@@ -134,11 +137,15 @@ class Statement:
 
     def __call__(self, text: str) -> list[str]:
         """The words of the text's own statement."""
+        text = plain(text)
         parts: list[list[str]] = []
         for sentence in _END.split(text):
             # line ends stand inside of sentences, or part those without a full stop
-            w = words(sentence)
-            parts += [w] if self.is_known(w) else map(words, _LINE.split(sentence))
+            w = WORD.findall(sentence)
+            if "\n" not in sentence or self.is_known(w):
+                parts.append(w)
+            else:
+                parts += map(WORD.findall, _LINE.split(sentence))
         parts = [w for w in parts if w]
         if self.end_only:
             while parts and self.is_known(parts[-1]):
@@ -146,7 +153,7 @@ class Statement:
         else:
             parts = [w for w in parts if not self.is_known(w)]
         out = [x for w in parts for x in w]
-        plain_words = [bare(x) for x in out]
+        plain_words = out if text.isascii() else [bare(x) for x in out]
         while True:  # instructions at the end of a text without full stops: the one that fits best
             fits = [(self.overlap(plain_words[len(out) - len(k) : len(out)], i), len(k)) for i, k in enumerate(self.known) if len(out) > len(k)]
             best = max(fits, default=(0.0, 0))
@@ -156,15 +163,15 @@ class Statement:
         return out
 
 
-_SCHEMA = "rec_id bigint, side string, ref string, text_key bigint, quantities bigint, bands array<bigint>, tokens array<bigint>"
+_SCHEMA = "rec_id bigint, side string, ref string, text_key bigint, quantities bigint, tokens array<bigint>"
 
 
 def describe(rows: DataFrame, known: list[str]) -> DataFrame:
-    """Hashes of each row (rec_id, side, ref, text). The bands hold the quantities too."""
+    """Hashes of each row (rec_id, side, ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, minhash, own = Hasher(), MinHash(BANDS, ROWS), Statement([canonical_numbers(k) for k in known])
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        hasher, own = Hasher(), Statement([canonical_numbers(k) for k in known])
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             out: list[list] = [[] for _ in types]
             for rec, side, ref, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -173,14 +180,29 @@ def describe(rows: DataFrame, known: list[str]) -> DataFrame:
                 if not w:
                     continue
                 tokens = occurrences(hasher(w))
-                quantities = set_key(occurrences(hasher(numbers(w))))
-                for col, x in zip(out, (rec, side, ref, set_key(tokens), quantities, minhash(tokens) ^ np.int64(quantities), tokens.view(np.int64))):
+                quantities = xxhash.xxh3_64_intdigest(" ".join(numbers(w))) - (1 << 63)
+                for col, x in zip(out, (rec, side, ref, set_key(tokens), quantities, tokens.view(np.int64))):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
     return rows.select("rec_id", "side", "ref", "text").mapInArrow(run, _SCHEMA)
 
 
+def banded(reps: DataFrame) -> DataFrame:
+    """(key, side, rep): for each of (side, rep, quantities, tokens) the keys of its bands, which hold the quantities too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = MinHash(BANDS, ROWS)
+        for batch in batches:
+            sides, ids, quantities, tokens = batch.columns
+            flat, at = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *tokens.value_lengths().to_pylist()])
+            keys = [minhash(flat[a:b]) ^ q for a, b, q in zip(at[:-1], at[1:], quantities.to_numpy(zero_copy_only=False))]
+            again = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), sides.take(again), ids.take(again)], names=["key", "side", "rep"])
+
+    return reps.select("side", "rep", "quantities", "tokens").mapInArrow(run, "key bigint, side string, rep bigint")
+
+
 def reference_value(reference: Column) -> Column:
     """The value a reference states: the text after ####, in canonical writing; null where it is missing."""
     value = F.substring_index(reference, "####", -1)
@@ -203,15 +225,16 @@ def classes(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
     # texts whose quantities stand on the other side too
     sides = table.groupBy("quantities").agg(F.count_distinct("side").alias("n")).where("n = 2").select("quantities")
     firsts = members.where("rec_id = rep").select("rec_id")
-    reps = cut(table.join(sides, "quantities", "left_semi").join(firsts, "rec_id", "left_semi").select("side", F.col("rec_id").alias("rep"), "quantities", "bands", "tokens"), "reps")
+    reps = cut(table.join(sides, "quantities", "left_semi").join(firsts, "rec_id", "left_semi").select("side", F.col("rec_id").alias("rep"), "quantities", "tokens"), "reps")
     release(table)
-    keyed = lambda s: reps.where(F.col("side") == s).select(F.explode("bands").alias("key"), F.col("rep").alias(s))
+    bands = cut(banded(reps), "bands")
+    keyed = lambda s: bands.where(F.col("side") == s).select("key", F.col("rep").alias(s))
     met = pairs_in_blocks(keyed("e"), keyed("t"), "key").select("e", "t").distinct()
     of = lambda s: reps.select(F.col("rep").alias(s), F.col("tokens").alias(f"w{s}"), F.col("quantities").alias(f"q{s}"))
     both = F.size(F.array_intersect("we", "wt"))
     alike = both * OF >= SHARED * (F.size("we") + F.size("wt") - both)
     same = cut(met.join(of("e"), "e").join(of("t"), "t").where((F.col("qe") == F.col("qt")) & alike).select("e", "t"), "same")
-    release(reps)
+    release(reps, bands)
     return members, same
 
 
