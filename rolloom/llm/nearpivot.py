@@ -37,7 +37,7 @@ PRINT, PACKED = [f"f{i}" for i in range(8)], [f"p{i}" for i in range(PIVOTS // L
 _ONES = sum(1 << BITS * k for k in range(LANES))
 _FLAGS = _ONES << (BITS - 1)
 SKETCH = ["n", *PRINT, *PACKED]
-_SCHEMA = "raw string, copies bigint, rec_id bigint, text_key bigint, mask_key bigint, n int, bands array<bigint>, tokens array<bigint>, " + ", ".join(f"{c} bigint" for c in PRINT + PACKED)
+_SCHEMA = "raw string, copies bigint, rec_id bigint, text_key bigint, mask_key bigint, n int, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in PRINT + PACKED)
 
 
 def pivot_prints(texts: DataFrame, count: int = PIVOTS) -> np.ndarray:
@@ -50,13 +50,13 @@ def pivot_prints(texts: DataFrame, count: int = PIVOTS) -> np.ndarray:
 
 
 def describe(texts: DataFrame, pivots: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Keys, fingerprint, pivot distances, band keys and tokens of each text (raw, copies, rec_id, text). Texts without words are left out."""
+    """Keys, fingerprint, pivot distances and band keys of each text (raw, copies, rec_id, text). Texts without words are left out."""
 
     lanes = np.array([1 << BITS * k for k in range(LANES)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, minhash = Hasher(), MinHash(bands, rows)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for batch in batches:
             out: list[list] = [[] for _ in types]
@@ -69,7 +69,7 @@ def describe(texts: DataFrame, pivots: np.ndarray, bands: int = BANDS, rows: int
                 tokens, still = occurrences(h), without_digits(h)
                 mask = set_key(occurrences(still)) if len(still) else None
                 prints.append(folded(tokens))
-                for col, x in zip(out, (raw, copies, rec, set_key(tokens), mask, len(tokens), minhash(tokens), tokens.view(np.int64))):
+                for col, x in zip(out, (raw, copies, rec, set_key(tokens), mask, len(tokens), minhash(tokens))):
                     col.append(x)
             fp = np.array(prints, dtype=np.int64).reshape(len(prints), len(PRINT))
             far = np.stack([np.bitwise_count((fp ^ p).view(np.uint64)).sum(axis=1, dtype=np.int64) for p in pivots], axis=1)
@@ -98,17 +98,34 @@ def may_be_close(a: str = "a", b: str = "b") -> Column:
     return test & (apart <= most)
 
 
-def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are close by all their words."""
-    tokens = lambda s: table.select(F.col("rec_id").alias(s), F.col("tokens").alias(f"t{s}"))
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """(rec_id, tokens): the hashed words of each text (rec_id, text), every occurrence a token of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            tokens = [occurrences(hasher(words(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, type=pa.list_(pa.int64()))], names=["rec_id", "tokens"])
+
+    return texts.select("rec_id", "text").mapInArrow(run, "rec_id bigint, tokens array<bigint>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rec_ids of `texts` that are close by all their words. Only texts that stand in a pair are read into words."""
+    pairs = cut(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rec_id")).distinct()
+    table = cut(tokens_of(texts.join(named, "rec_id", "left_semi").dropDuplicates(["rec_id"])), "tokens")
+    side = lambda s: table.select(F.col("rec_id").alias(s), F.col("tokens").alias(f"t{s}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    full = pairs.select("a", "b").join(tokens("a"), "a").join(tokens("b"), "b").withColumn("both", both)
-    return full.where(F.col("both") * OF >= SHARED * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    found = cut(full.where(F.col("both") * OF >= SHARED * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b"), "close")
+    release(pairs, table)
+    return found
 
 
-def survivors(pairs: DataFrame, table: DataFrame) -> DataFrame:
+def survivors(pairs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those the pivot table, the fingerprints and at last the words don't rule out."""
-    return verified(pairs.join(sketch(table, "a"), "a").join(sketch(table, "b"), "b").where(may_be_close()), table)
+    return verified(pairs.join(sketch(table, "a"), "a").join(sketch(table, "b"), "b").where(may_be_close()).select("a", "b"), texts)
 
 
 def _groups_of(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,7 +154,7 @@ def near_groups(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     banded = reps.select(F.col("rec_id").alias("rep"), F.explode("bands").alias("band"))
     hubs = cut(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "hubs")
     held = cut(lookup(banded, "band", hubs, "_n"), "banded")
-    links = cut(survivors(held.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps).unionByName(same_mask), "links")
+    links = cut(survivors(held.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps, texts).unionByName(same_mask), "links")
     comp = cut(_groups_of(reps, links), "comp")
 
     placed = cut(held.select("band", "rep").join(comp.withColumnRenamed("node", "rep"), "rep"), "placed")
@@ -149,7 +166,7 @@ def near_groups(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     left = sketch(several.where("comp <> main"), "a", "band", F.col("comp").alias("ca"))
     right = sketch(several, "b", "band", F.col("comp").alias("cb"), F.col("main").alias("mb"))
     across = pairs_in_blocks(left, right, "band").where("ca <> cb and (cb = mb or a < b)").where(may_be_close()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = cut(verified(across, reps), "more")
+    more = verified(across, texts)
     if more.head(1):
         comp = cut(_groups_of(reps, links.unionByName(more)), "comp")
     release(several, links, more, reps)
