@@ -3,7 +3,7 @@
 Two detectors, whose hits are reported apart:
 
 * `length`: for each source and column, histograms of the lengths in characters and in bytes are searched for spikes, which are field limits. A reply at a spike without terminal
-  punctuation (a full stop, a mark that closes a formula or block, or a number) is cut by the limit, whatever its last words are.
+  punctuation (a full stop, a mark that closes a formula or block, or a number) is cut by the limit, unless its last words often close replies where they stand ("the result is no solution").
 * `mark`, `open`, `ending`: a transfer cuts at any length, so there the end itself must show it: a cut mark, an open block or formula, or an end inside a word or sentence. What a
   proper end is beside a full stop comes from all replies: endings that close replies much more often than they stand inside of them.
 """
@@ -22,6 +22,8 @@ from rolloom.session import cut
 
 #: A known ending is a proper end with this share of its places at the end of replies.
 PROPER = 0.1
+#: Words that stand at the end of replies in at least this share of their places end a reply at a length spike too.
+PROPER_AT_SPIKE = 0.3
 #: A reply whose four-token runs are from the problem to this share, and that holds this share of the problem's, repeats the problem.
 COPIED, WHOLE = 0.8, 0.85
 
@@ -37,7 +39,7 @@ def suspects(replies: Replies) -> DataFrame:
     rows = slims_of(replies)
     known = known_endings(replies.bare, rows)
     marked = rows.where("tokens > 0").join(at_spikes(rows).withColumn("spike", F.lit(True)), ["tbl", "rec_id"], "left")
-    at_limit = F.coalesce("spike", F.lit(False)) & ~F.col("stop") & ~F.col("closing")
+    at_limit = F.coalesce("spike", F.lit(False)) & ~F.col("stop") & ~F.col("closing") & ~proper_end(known, PROPER_AT_SPIKE)
     detector = F.when(at_limit, "length").when(F.col("broken"), "mark").when(F.col("left_open"), "open").when(~F.col("stop") & ~proper_end(known), "ending")
     return marked.select("tbl", "rec_id", detector.alias("detector")).where("detector is not null").distinct()
 
